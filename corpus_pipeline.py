@@ -5,11 +5,17 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import byte_cnn, decontaminate, line_templates, nnls_packing, simhash_dedup
 from ridgeline.llm.common import cut_lineage, ranks_path, table
+from ridgeline.workers import make_importable
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; documents that lose all their text go."""
+    """Lines of recurring templates go from all documents but the first.
+
+    Documents go too that lose lines and keep less than a line's least number of words: all they had is elsewhere.
+    """
     kept = line_templates.drop_templates(docs, length_col="n_chars")
-    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    emptied = (F.col("n_dropped") > 0) & (words < line_templates.LEAST_TOKENS)
     return kept.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
@@ -39,7 +49,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return nnls_packing.pack(docs, ranks_path())
 
 
-STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+def _stage(f: Stage) -> Stage:
+    """The stage, with this checkout on the path of the Python workers that it starts."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        make_importable(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _stage(f)) for name, f in (("quality classifier", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", packing))]
 
 #: SQL can express neither the network nor the tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
