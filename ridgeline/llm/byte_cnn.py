@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ridgeline.llm.common import slices
+from ridgeline.llm.common import fresh, slices
 
 WIDTH, STRIDE, HALF = 8, 2, 512
 VECTOR, FILTERS = 8, 24
@@ -174,7 +174,7 @@ MOST_ROWS = 2500
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: F.Column, most_rows: int = MOST_ROWS) -> tuple[list[str | None], list[int]]:
     """At most ``most_rows`` labelled texts for which ``learn`` holds, those with the smallest hash of their id."""
     order = F.xxhash64(F.col(id_col).cast("string"))
-    picked = labels.where(learn & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label")).distinct().orderBy(order, "_label").limit(most_rows)
+    picked = labels.select(id_col, F.col(label_col).cast("int").alias("_label")).where(learn & F.col("_label").isNotNull()).distinct().orderBy(order, "_label").limit(most_rows)
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).orderBy(order, text_col).limit(most_rows).collect()  # both sides bounded
     return [r[text_col] for r in rows], [r["_label"] for r in rows]
 
@@ -202,10 +202,10 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", columns: l
                 scores = score(model, tables, part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, name])
 
-    return docs.select(*keep, F.col(text_col).alias("_scored")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(fresh(keep, "_scored"))).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
     """The documents, in their own columns, that a model learned from the labels doesn't reject."""
-    scored = with_score(docs, fit(docs, labels, id_col, text_col, label_col), text_col, name="_quality_score")
-    return scored.where(F.col("_quality_score") >= threshold).select(*docs.columns)
+    name = fresh(docs.columns, "_quality_score")
+    return with_score(docs, fit(docs, labels, id_col, text_col, label_col), text_col, name=name).where(F.col(name) >= threshold).select(*docs.columns)

@@ -75,3 +75,11 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBat
     step = max(1, int(batch.num_rows * most / max(batch.nbytes, most)))
     for k in range(0, batch.num_rows, step):
         yield batch.slice(k, step)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores put before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

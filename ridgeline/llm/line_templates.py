@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ridgeline.llm.common import slices
+from ridgeline.llm.common import fresh, slices
 
 LEADING, LEAST_TOKENS, STRETCH_FROM, LEAST_DOCS = 2, 4, 8, 2
 ANY = b"<*>"
@@ -91,9 +91,10 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents, in their own columns, with changed texts, and ``n_lines`` and ``n_dropped``."""
     keys = line_keys(docs, id_col, text_col, **rules)
     found = recurring(keys, least_docs)
-    dropped = keys.join(found, "key").where(~F.col("id").eqNullSafe(F.col("owner"))).groupBy("id").agg(F.collect_set("line").alias("_drop")).withColumnRenamed("id", "_id")
+    own, drop = fresh(docs.columns, "_id"), fresh(docs.columns, "_drop")
+    dropped = keys.join(found, "key").where(~F.col("id").eqNullSafe(F.col("owner"))).groupBy(F.col("id").alias(own)).agg(F.collect_set("line").alias(drop))
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    met = docs.select(*keep).join(dropped, docs[id_col].eqNullSafe(dropped["_id"]), "left").select(*keep, "_drop")
+    met = docs.select(*keep).join(dropped, docs[id_col].eqNullSafe(dropped[own]), "left").select(*keep, drop)
     place, counted = keep.index(text_col), keep.index(length_col) if length_col else None
     schema = StructType([docs.schema[c] for c in keep] + [StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import cut_lineage, slices
+from ridgeline.llm.common import cut_lineage, fresh, slices
 
 SHINGLE = 3
 SEED = 42
@@ -336,20 +336,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Per row ``(id, fingerprint, component_id)``: 16 hex digits, and the smallest id reachable over links."""
-    every = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut_lineage(every.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.col("fp")))
+    every = cut_lineage(fingerprints(docs, id_col, text_col, shingle).toDF("id", "fp"))
+    nodes = cut_lineage(every.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.col("fp")))
     n, both = joint_counts(nodes)
     named = nodes.select("fp", "least")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     if n < 2:
-        return every.join(named, "fp").select(id_col, hexed, F.col("least").alias("component_id"))
+        return every.join(named, "fp").select(F.col("id").alias(id_col), hexed, F.col("least").alias("component_id"))
     links = near_links(nodes.select("fp", "node"), plan(n, both, radius), radius)
     roots = components(links)
     # component -> smallest id of its fingerprints
     joined = named.join(roots, named.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = joined.join(least, "root").select("fp", "component_id")
-    return every.join(by_fp, "fp").select(id_col, hexed, "component_id")
+    return every.join(by_fp, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -359,8 +359,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are all null keeps one row too.
     """
     groups = near_duplicates(docs, id_col, text_col, radius, shingle)
-    winners = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_winner")).distinct()
-    kept = docs.join(winners, docs[id_col].eqNullSafe(winners["_winner"]), "left_semi")
+    winner, row = fresh(docs.columns, "_winner"), fresh(docs.columns, "_row")
+    winners = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(winner)).distinct()
+    kept = docs.join(winners, docs[id_col].eqNullSafe(winners[winner]), "left_semi")
     rest = [c for c in docs.columns if c != id_col]
-    firsts = kept.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in rest if c != text_col])).alias("_row"))
-    return firsts.select(*[F.col(id_col) if c == id_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    firsts = kept.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in rest if c != text_col])).alias(row))
+    return firsts.select(*[F.col(id_col) if c == id_col else F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])
