@@ -105,8 +105,11 @@ def score(model: Model, tables: np.ndarray, texts: list[str | None]) -> np.ndarr
     return logistic((combine(chunk, chunks) * model.weights).sum((1, 2)) + model.bias)
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.02, decay: float = 1e-4, seed: int = 11) -> Model:
-    """Fit by Adam on the logistic loss; the rarer label's rows weigh up to three times as much."""
+def train(texts: list[str | None], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.02, decay: float = 1e-4, least_steps: int = 250, seed: int = 11) -> Model:
+    """Fit by Adam on the logistic loss; the rarer label's rows weigh up to three times as much.
+
+    Small samples are gone through more often, until there are ``least_steps`` steps.
+    """
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -121,6 +124,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 10, batch: i
     first = {k: np.zeros_like(v) for k, v in values.items()}
     second = {k: np.zeros_like(v) for k, v in values.items()}
     step = 0
+    epochs = max(epochs, -(-least_steps * batch // len(y)))
     total = epochs * -(-len(y) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(y))
