@@ -46,7 +46,9 @@ def scan_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         _items(F.col("spanishtripleset"), "striple", F.col("striple")).alias("striples"), _items(F.col("catalantripleset"), "ctriple").alias("ctriples"), _items(F.col("enbttripleset"), "bttriple").alias("bttriples"),
         _lex("en", unmarked=True).alias("lex_en"), _lex("es").alias("lex_es"), _lex("ca").alias("lex_ca"), _lex("en_bt").alias("lex_en_bt"), F.col("_broken").alias("broken"),
     )
-    bad = rows.where(F.col("broken").isNotNull()).select("path").distinct()
+    # The reader needs some other column beside that of broken records.
+    judged = rows.groupBy("path").agg(F.max(F.col("broken").isNotNull()).alias("bad"), F.count("eid").alias("n"))
+    bad = judged.where("bad and n >= 0").select("path")
     return rows.join(bad, "path", "left_anti").where(F.size("mtriples") > 0).withColumn("size", F.coalesce("size", F.size("mtriples"))).drop("broken", "path")
 
 
