@@ -359,9 +359,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are all null keeps one row too.
     """
     groups = near_duplicates(docs, id_col, text_col, radius, shingle)
-    winner, row = fresh(docs.columns, "_winner"), fresh(docs.columns, "_row")
-    winners = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(winner)).distinct()
-    kept = docs.join(winners, docs[id_col].eqNullSafe(winners[winner]), "left_semi")
-    rest = [c for c in docs.columns if c != id_col]
-    firsts = kept.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in rest if c != text_col])).alias(row))
-    return firsts.select(*[F.col(id_col) if c == id_col else F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])
+    key, row = fresh(docs.columns, "_key"), fresh(docs.columns, "_row")
+    named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))  # null is a key of its own
+    winners = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(named.alias(key)).distinct()
+    whole = docs.select(named.alias(key), F.struct(text_col, *[c for c in docs.columns if c != text_col]).alias(row))
+    firsts = whole.join(winners, key, "left_semi").groupBy(key).agg(F.min(row).alias(row))  # dealt once, by the key
+    return firsts.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])
