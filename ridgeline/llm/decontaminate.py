@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import cut_lineage, slices
 
 WINDOW = 8
 #: Words of one automaton; about 200 bytes each.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
 
 #: Bytes: A-Z become a-z; what is no letter, digit or part of a character over 127 becomes a blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
