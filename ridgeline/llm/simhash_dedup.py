@@ -363,5 +363,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))  # null is a key of its own
     winners = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(named.alias(key)).distinct()
     whole = docs.select(named.alias(key), F.struct(text_col, *[c for c in docs.columns if c != text_col]).alias(row))
-    firsts = whole.join(winners, key, "left_semi").groupBy(key).agg(F.min(row).alias(row))  # dealt once, by the key
+    # The texts are dealt once, by the key; tasks keep one row of an id before that, however often it repeats.
+    firsts = whole.groupBy(key).agg(F.min(row).alias(row)).join(winners, key, "left_semi")
     return firsts.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])
