@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.functions import model_output, numbers, rules, stable, text
+from ridgeline.functions import language, model_output, numbers, rules, stable, text
 from ridgeline.functions import questions as question_text
 from ridgeline.operators import collection, fusion, metrics, qrels, report, retrieval
 from ridgeline.operators import questions as qa_ops
 from ridgeline.operators.topk import min_max_per_key
-from ridgeline.plans import fixture
+from ridgeline.plans import experiment, fixture
 from ridgeline.plans.fixture import FIXTURE_SQL, table
+from ridgeline.plans.matrix import matrix
 from ridgeline.sources import tables
 from ridgeline.streaming.resume import todo
 
@@ -208,6 +209,26 @@ def representation_normalize(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.normalize_representation(raw).alias("representation"))
 
 
+_SHARES = ", ".join(f"len(list_filter(w, lambda x: x IN {own})) / cast(len(w) AS double) AS {lang}_share" for lang, own in language.FREQUENT.items())
+_ORDERED = ", ".join(f"{{'score': {lang}_share, 'lang': '{lang}'}}" for lang in language.FREQUENT)
+
+
+@query(f"""WITH tk AS (SELECT doc_id, lang, {TOKENS.format("text")} AS w FROM documents), sh AS (SELECT doc_id, lang, {_SHARES} FROM tk WHERE len(w) > 0), od AS (SELECT doc_id, lang, list_reverse_sort([{_ORDERED}]) AS s FROM sh)
+SELECT doc_id, s[1].lang AS detected, round(s[1].score - s[2].score, 9) AS margin, s[1].lang <> lang OR s[1].score - s[2].score < 0.15 AS review FROM od""")
+def language_check(spark, d):
+    docs = table(spark, d, "documents").where(F.size(text.tokenize(F.col("text"))) > 0)
+    scored = docs.select("doc_id", "lang", language.frequent_word_scores(F.col("text")).alias("s"))
+    detected, margin, review = language.language_review(F.col("s"), F.col("lang"))
+    return scored.select("doc_id", detected.alias("detected"), F.round(margin, 9).alias("margin"), review.alias("review"))
+
+
+@query("SELECT qa_row_id, concat('¿Qué región tiene ', replace(question[20:], '?', ''), '?') AS corrected, qa_row_id % 2 = 0 AS changed FROM qa", fixed=True)
+def question_correction(spark, d):
+    rough = F.when(F.col("qa_row_id") % 2 == 0, F.concat(F.lower(F.substring("question_es", 2, 3)), F.substring("question_es", 5, 100))).otherwise(F.col("question_es"))
+    fixed = question_text.corrected_question(rough, None, "es")
+    return fixture.questions(spark, d).select("qa_row_id", fixed["corrected"].alias("corrected"), fixed["changed"].alias("changed"))
+
+
 # --- collection
 
 
@@ -649,6 +670,15 @@ def summary_by_split(spark, d):
     return metrics.summarize(_labelled(spark, d), ["split"])
 
 
+@query()
+def matrix_summary(spark, d):
+    """Lexical retrieval of each representation, the fusions, metrics and their roll-up, over the facts' collection."""
+    docs, queries, judged = _judged(spark, d)
+    one = ("en",)
+    runs = matrix(query_langs=one, triple_langs=one, concat_langs=one, text_langs=one, hybrid_langs=one, methods=("bm25",), top_k_base=50, top_k_final=20)
+    return metrics.summary_cube(experiment.evaluate(experiment.execute(runs, docs, queries), queries, judged))
+
+
 # --- reports over a summary made from order lines: one row per method, representation and direction
 
 _SUMMARY = """
