@@ -145,7 +145,7 @@ def chained(single: np.ndarray, double: np.ndarray) -> list[int]:
     return chain
 
 
-ROW_COST, PAIR_COST = 600.0, 1.5  # nanoseconds of an index row dealt, and of a candidate verified
+ROW_COST, PAIR_COST = 600.0, 5.0  # nanoseconds of an index row dealt, and of a candidate verified
 
 
 def plan(n: int, both: np.ndarray, radius: int = RADIUS) -> list[Part]:
