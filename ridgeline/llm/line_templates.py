@@ -1,23 +1,28 @@
 """Line dedup by a log-template tree.
 
-Every line is parsed down a tree of fixed depth: first the number of its tokens, then its ``leading`` first tokens, tokens
-with digits standing for any value. The leaf generalises variable fields: the remaining tokens are cut into four stretches,
-and the line belongs to four templates, each with one stretch left open. Two lines of a leaf so share a template if all
-their differences lie in fields with digits and in one stretch, that is if three quarters of the rest agree place by place.
-Short rests (under ``stretch_from`` tokens) have one template without an open stretch. Templates don't depend on the order of
-lines, so the tree needs no sequential pass and no shared state: a template is a 128-bit hash and recurrence a count.
-
-A template that occurs in ``least_docs`` documents or more is recurring, and its lines are dropped from every document but
-the one with the smallest id. Counting pre-aggregates, so a line that a third of all documents have doesn't meet in one task.
-
-Defined results: null and empty texts have no lines and stay as they are; blank lines and lines of under ``least_tokens``
-tokens stay; rows with the same id are one document; a null id comes first. A document all of whose lines are dropped
-has the empty text. An empty table gives an empty one. Extra columns are carried along, whatever their names, but for
-``n_lines`` and ``n_dropped``, which are replaced.
+Texts are cut into units: lines, and within lines sentences, so that a passage is found in whatever line it stands. Every
+unit is parsed down a tree of fixed depth: first the number of its tokens, then its ``leading`` first tokens, tokens with
+digits standing for any value. The leaf generalises variable fields: the remaining tokens of a longer unit are cut into two
+stretches, and the unit belongs to two templates, each with one stretch left open; shorter units have one template. Two
+units of a leaf so share a template if all their differences lie in fields with digits and in one stretch. Templates don't
+depend on the order of units, so the tree needs no sequential pass and no shared state: a template is a 64-bit hash and
+recurrence a count. (Two templates among n share a hash by chance about n / 2 ** 64 times: 5e-9 at n = 1e11.)
+
+A template that occurs in ``least_docs`` documents or more is recurring, in all documents but the one with the smallest
+id, which keeps it. Recurring units that follow each other make a run; units too short for a template (under
+``least_tokens``) join a run when they stand inside it. A run is dropped if it has ``least_run`` words or more, or if it fills
+whole lines: short sentences that meet by chance in otherwise different lines stay. Counting pre-aggregates, so a line that a
+third of all documents have doesn't meet in one task.
+
+Defined results: null and empty texts have no units and stay as they are; a text without a dropped run stays to the byte;
+rows with the same id are one document; a null id comes first. A document all of whose units are dropped has the empty
+text. An empty table gives an empty one. Extra columns are carried along, whatever their names, but for ``n_units`` and
+``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,52 +32,59 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ridgeline.llm.common import fresh, slices
 
-LEADING, LEAST_TOKENS, STRETCH_FROM, LEAST_DOCS = 2, 4, 8, 2
+LEADING, LEAST_TOKENS, STRETCH_FROM, LEAST_DOCS, LEAST_RUN = 2, 4, 12, 2, 20
 ANY = b"<*>"
 _DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
+#: What parts units: blanks and line breaks after a sentence's end, and line breaks anywhere.
+_BREAK = re.compile(rb"((?<=[.!?])[ \n]+|\n+)")
 
 
-def templates(line: bytes, leading: int = LEADING, least_tokens: int = LEAST_TOKENS, stretch_from: int = STRETCH_FROM) -> list[bytes]:
-    """The templates of a line; none if it is too short."""
-    tokens = line.split()
+def units(text: str | None) -> list[bytes]:
+    """Units and what follows each, in turn; joined they are the text."""
+    parts = _BREAK.split((text or "").encode("utf-8", "surrogatepass"))
+    parts.append(b"")
+    return parts
+
+
+def templates(unit: bytes, leading: int = LEADING, least_tokens: int = LEAST_TOKENS, stretch_from: int = STRETCH_FROM) -> list[bytes]:
+    """The templates of a unit; none if it is too short."""
+    tokens = unit.split()
     n = len(tokens)
     if n < least_tokens:
         return []
-    if b"0" in line.translate(_DIGITS):
+    if b"0" in unit.translate(_DIGITS):
         tokens = [ANY if b"0" in t.translate(_DIGITS) else t for t in tokens]
     rest = n - leading
     if rest < stretch_from:
-        return [b" ".join([b"%d|" % n, *tokens])]
-    cuts = [leading + rest * k // 4 for k in range(5)]
-    return [b" ".join([b"%d|" % n, *tokens[:a], ANY, b"%d|" % k, *tokens[b:]]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        return [b"%d|" % n + b" ".join(tokens)]
+    half = leading + rest // 2
+    return [b"%d|1|" % n + b" ".join(tokens[:half]), b"%d|2|" % n + b" ".join(tokens[:leading] + tokens[half:])]
 
 
-def line_hash(line: bytes) -> int:
+def unit_hash(unit: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(unit) - (1 << 63)
 
 
-def line_keys(docs: DataFrame, id_col: str, text_col: str, **rules: int) -> DataFrame:
-    """``(id, line, key)``: a hash of each distinct line of a row, and of each of its templates."""
+def unit_keys(docs: DataFrame, id_col: str, text_col: str, **rules: int) -> DataFrame:
+    """``(id, unit, key)``: a hash of each distinct unit of a row, and of each of its templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                take, lines, keys = [], [], []
+                take, own, keys = [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
-                    for line in set((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                        if found := templates(line, **rules):
-                            own = line_hash(line)
+                    for unit in set(units(text)[::2]):
+                        if found := templates(unit, **rules):
+                            hashed = unit_hash(unit)
                             for template in found:
                                 take.append(k)
-                                lines.append(own)
-                                keys.append(xxhash.xxh3_128_digest(template))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), pa.array(lines, pa.int64()), pa.array(keys, pa.binary())], names=["id", "line", "key"])
+                                own.append(hashed)
+                                keys.append(unit_hash(template))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), pa.array(own, pa.int64()), pa.array(keys, pa.int64())], names=["id", "unit", "key"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, line long, key binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, unit long, key long")
 
 
 def recurring(keys: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -87,40 +99,74 @@ def recurring(keys: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return counted.where(many).select("key", F.when(~F.col("has_null"), F.col("least")).alias("owner"))
 
 
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, length_col: str | None = None, **rules: int) -> DataFrame:
-    """The documents, in their own columns, with changed texts, and ``n_lines`` and ``n_dropped``."""
-    keys = line_keys(docs, id_col, text_col, **rules)
+def dropped_runs(parts: list[bytes], gone: set[int], least_tokens: int = LEAST_TOKENS, least_run: int = LEAST_RUN) -> list[tuple[int, int]]:
+    """Ranges of units (start, end) to drop, given the hashes of the recurring ones."""
+    n = len(parts) // 2
+    sizes = [len(parts[2 * k].split()) for k in range(n)]
+    recurs = [sizes[k] >= least_tokens and unit_hash(parts[2 * k]) in gone for k in range(n)]
+    runs, k = [], 0
+    while k < n:
+        if not recurs[k]:
+            k += 1
+            continue
+        end = last = k + 1
+        while end < n and (recurs[end] or sizes[end] < least_tokens):
+            end += 1
+            if recurs[end - 1]:
+                last = end
+        opens, closes = k == 0 or b"\n" in parts[2 * k - 1], last == n or b"\n" in parts[2 * last - 1]
+        if sum(sizes[k:last]) >= least_run or (opens and closes):
+            runs.append((k, last))
+        k = max(end, last)
+    return runs
+
+
+def without(parts: list[bytes], runs: list[tuple[int, int]]) -> str:
+    """The text without some ranges of units. A line break that goes with a range stays where text stays before it."""
+    kept: list[bytes] = []
+    at = 0
+    for start, end in runs:
+        kept += parts[2 * at : 2 * start]
+        if kept and b"\n" not in kept[-1] and any(b"\n" in s for s in parts[2 * start + 1 : 2 * end : 2]):
+            kept[-1] = b"\n"
+        at = end
+    kept += parts[2 * at :]
+    if at == len(parts) // 2 and kept:  # the text's end went
+        kept[-1] = b""
+    return b"".join(kept).decode("utf-8", "surrogatepass")
+
+
+def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, least_run: int = LEAST_RUN, length_col: str | None = None, least_tokens: int = LEAST_TOKENS, **rules: int) -> DataFrame:
+    """The documents, in their own columns, with changed texts, and ``n_units`` and ``n_dropped``."""
+    keys = unit_keys(docs, id_col, text_col, least_tokens=least_tokens, **rules)
     found = recurring(keys, least_docs)
     own, drop = fresh(docs.columns, "_id"), fresh(docs.columns, "_drop")
-    dropped = keys.join(found, "key").where(~F.col("id").eqNullSafe(F.col("owner"))).groupBy(F.col("id").alias(own)).agg(F.collect_set("line").alias(drop))
-    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    dropped = keys.join(found, "key").where(~F.col("id").eqNullSafe(F.col("owner"))).groupBy(F.col("id").alias(own)).agg(F.collect_set("unit").alias(drop))
+    keep = [c for c in docs.columns if c.lower() not in ("n_units", "n_dropped")]
     met = docs.select(*keep).join(dropped, docs[id_col].eqNullSafe(dropped[own]), "left").select(*keep, drop)
     place, counted = keep.index(text_col), keep.index(length_col) if length_col else None
-    schema = StructType([docs.schema[c] for c in keep] + [StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    schema = StructType([docs.schema[c] for c in keep] + [StructField("n_units", LongType()), StructField("n_dropped", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 columns = list(part.columns[: len(keep)])
-                texts, lengths, n_lines, n_dropped = [], [], [], []
+                texts, lengths, n_units, n_dropped = [], [], [], []
                 olds = columns[place].to_pylist()
                 sizes = columns[counted].to_pylist() if counted is not None else [None] * len(olds)
-                for text, drop, size in zip(olds, part.column(len(keep)).to_pylist(), sizes, strict=True):
-                    lines = text.split("\n") if text else []
-                    if drop:
-                        gone = set(drop)
-                        kept = [x for x in lines if line_hash(x.encode("utf-8", "surrogatepass")) not in gone]
-                        text = "\n".join(kept)
+                for text, gone, size in zip(olds, part.column(len(keep)).to_pylist(), sizes, strict=True):
+                    parts = units(text)
+                    runs = dropped_runs(parts, set(gone), least_tokens, least_run) if gone else []
+                    if runs:
+                        text = without(parts, runs)
                         size = len(text)
-                        n_dropped.append(len(lines) - len(kept))
-                    else:
-                        n_dropped.append(0)
                     texts.append(text)
                     lengths.append(size)
-                    n_lines.append(len(lines))
+                    n_units.append(sum(map(bool, parts[::2])))
+                    n_dropped.append(sum(b - a for a, b in runs))
                 columns[place] = pa.array(texts, columns[place].type)
                 if counted is not None:
                     columns[counted] = pa.array(lengths, columns[counted].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_units, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
 
     return met.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_dropped", "text")
+    return kept.select("doc_id", "n_units", "n_dropped", "text")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,34 +96,6 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL["op2_line_dedup"] = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
-  FROM documents WHERE text <> ''
-),
-t AS (SELECT line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw FROM (SELECT DISTINCT line FROM l)),
-m AS (
-  SELECT line, len(raw) AS n, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
-  FROM t WHERE len(raw) >= 4
-),
-keys AS (
-  SELECT line, concat(n, '|', array_to_string(w, ' ')) AS key FROM m WHERE n - 2 < 8
-  UNION ALL
-  SELECT line, concat(n, '|', array_to_string(w[1 : 2 + (n - 2) * s // 4], ' '), ' <*> ', s, '| ', array_to_string(w[3 + (n - 2) * (s + 1) // 4 :], ' '))
-  FROM m, (SELECT unnest(range(4)) AS s) WHERE n - 2 >= 8
-),
-recurring AS (
-  SELECT key, min(doc_id) AS owner FROM keys JOIN l USING (line) GROUP BY key HAVING count(DISTINCT doc_id) >= 2
-),
-dropped AS (SELECT DISTINCT l.doc_id, line FROM l JOIN keys USING (line) JOIN recurring USING (key) WHERE l.doc_id <> owner),
-kept AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(d.doc_id) AS n_dropped, string_agg(CASE WHEN d.doc_id IS NULL THEN l.line END, chr(10) ORDER BY k) AS text
-  FROM l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.line = d.line GROUP BY l.doc_id
-)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN n_lines IS NULL THEN documents.text ELSE coalesce(kept.text, '') END AS text
-FROM documents LEFT JOIN kept USING (doc_id)
-"""
-
 ORACLE_SQL["op9_chat_formatting"] = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
