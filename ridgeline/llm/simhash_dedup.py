@@ -63,16 +63,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp)`` for each row; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *carried, fp)`` for each row; fp holds the 64 bits as a signed long."""
+    kept = [id_col, *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                fps = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+                fps = np.array([fingerprint(t, shingle) for t in part.column(len(kept)).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(fps, pa.int64())], names=[*kept, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept, text_col).mapInArrow(run, f"{columns}, fp long")
 
 
 # --- the plan of partitions and thresholds
@@ -334,17 +336,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
+def _roots(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(node, root)`` of the fingerprints that have links; nodes has distinct ``(fp, node)``."""
+    n, both = joint_counts(nodes)
+    if n < 2:
+        return nodes.select("node", F.col("node").alias("root"))
+    return components(near_links(nodes.select("fp", "node"), plan(n, both, radius), radius))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Per row ``(id, fingerprint, component_id)``: 16 hex digits, and the smallest id reachable over links."""
     every = cut_lineage(fingerprints(docs, id_col, text_col, shingle).toDF("id", "fp"))
     nodes = cut_lineage(every.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.col("fp")))
-    n, both = joint_counts(nodes)
+    roots = _roots(nodes, radius)
     named = nodes.select("fp", "least")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    if n < 2:
-        return every.join(named, "fp").select(F.col("id").alias(id_col), hexed, F.col("least").alias("component_id"))
-    links = near_links(nodes.select("fp", "node"), plan(n, both, radius), radius)
-    roots = components(links)
     # component -> smallest id of its fingerprints
     joined = named.join(roots, named.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -352,17 +358,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return every.join(by_fp, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
+def _firsts(every: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``row`` to keep of each root; every has ``(row, id, root)``, texts ``(row, text)``. Nulls come last among ids."""
+    by_id = every.groupBy("root", "id").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    least = by_id.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row", "n")).alias("f"))
+    least = cut_lineage(least.select("root", "f.id", "f.row", "f.n"))
+    tied = least.where("n > 1").select(F.col("root").alias("r"), F.col("id").alias("i"))
+    if not tied.head(1):
+        return least.select("row")
+    # Only rows that share the smallest id of their group need their texts compared.
+    rows = every.join(tied, (F.col("root") == F.col("r")) & F.col("id").eqNullSafe(F.col("i"))).select("row", "root")
+    smallest = rows.join(texts, "row").groupBy("root").agg(F.min(F.struct("text", "row")).alias("f"))
+    return least.where("n = 1").select("row").unionByName(smallest.select("f.row"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, in their own columns, with one of each group of near-duplicates: the one with the smallest id.
+    """The documents, in their own columns, with one row of each group of near-duplicates: the one with the smallest id.
 
-    Rows that repeat the smallest id of their group are one document; the smallest text of them stays. A group whose ids
-    are all null keeps one row too.
+    Rows are told apart by a number of their own, so ids may repeat or be null. Among rows of a group with the same smallest
+    id the one with the smallest text stays; null ids come last.
     """
-    groups = near_duplicates(docs, id_col, text_col, radius, shingle)
-    key, row = fresh(docs.columns, "_key"), fresh(docs.columns, "_row")
-    named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))  # null is a key of its own
-    winners = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(named.alias(key)).distinct()
-    whole = docs.select(named.alias(key), F.struct(text_col, *[c for c in docs.columns if c != text_col]).alias(row))
-    # The texts are dealt once, by the key; tasks keep one row of an id before that, however often it repeats.
-    firsts = whole.groupBy(key).agg(F.min(row).alias(row)).join(winners, key, "left_semi")
-    return firsts.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])
+    row = fresh(docs.columns, "_row")
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    every = cut_lineage(fingerprints(numbered, row, text_col, shingle, (id_col,)).toDF("row", "id", "fp"))
+    roots = _roots(cut_lineage(every.select("fp", F.col("fp").alias("node")).distinct()), radius)
+    rooted = every.join(roots, every.fp == roots.node, "left").select("row", "id", F.coalesce("root", "fp").alias("root"))
+    winners = _firsts(rooted, numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"))).select(F.col("row").alias(row))
+    return numbered.join(winners, row, "left_semi").select(*docs.columns)

@@ -568,6 +568,15 @@ def test_near_duplicates_of_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected))
 
 
+def test_keep_first_tells_rows_apart(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"{rng.choice('bcdfg')}{rng.randrange(999)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, e), (7, e), (None, e)]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA).repartition(3)
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash_dedup.keep_first(docs).collect()))
+    assert kept == sorted([(0, a), (0, b), (7, c), (7, d), (7, e)])
+
+
 def test_chains_and_stars(spark):
     chain = [(k + 1, k) for k in range(60)]
     star = [(1000 + k, 999) for k in range(200)]
