@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash_dedup.keep_first(docs)
+    """One document of each group of near-duplicates stays: texts with five-word shingles of similarity 0.8, or near fingerprints."""
+    return simhash_dedup.keep_first(docs, similarity=simhash_dedup.SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,12 @@ dealt in pairs of blocks to many tasks, so no task holds an unbounded group. Com
 propagation over all links with alternating star operations, checkpointed each round; nothing of it goes to the driver
 but counts.
 
+The pipeline's stage links besides these all texts whose sets of five-word shingles have a Jaccard similarity J of at least
+0.8, exactly: with all shingles in any one order, two such sets of n hashes share one of their first n - ceil(0.8 n) + 1
+(prefix filter). The order is that of the hashes, with those last that a sample of the texts shows to be common. These are dealt by hash; within a hash the sizes and the places rule pairs out, and what is
+left is compared as whole sets. Neighbours by size are compared first, over few hashes, and what they link isn't paired again,
+so that a large group of near copies doesn't write out its pairs.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle make one
 shingle; repeated rows and equal texts share a fingerprint and so a component; a null id can't be a component's name, it
 gets the smallest id that is not null, or null. An empty table gives an empty result. Only the named columns are read.
@@ -36,6 +42,8 @@ from ridgeline.llm.common import cut_lineage, fresh, slices
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: Of the pipeline's stage: words of a shingle, and the least Jaccard similarity.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -287,30 +295,203 @@ def _links(radius: int):
     return run
 
 
-def near_links(nodes: DataFrame, parts: list[Part], radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)``, a > b, whose components are those of all pairs within ``radius``; nodes has distinct ``(fp, node)``."""
-    keys = F.concat(*[_keys(p, 100 * k, F.col("fp")) for k, p in enumerate(parts)])
-    rows = nodes.select("fp", "node", F.explode(keys).alias("k")).select("k.part", "k.key", "fp", "node")
-    # Keys with more members than a block are few; they are dealt in pairs of blocks.
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows ``(part, key, ...)``, told apart by their third column, with ``pair`` and ``left``: those of a key in one task.
+
+    Keys with more members than a block are few; they are dealt in pairs of blocks.
+    """
+    rest = rows.columns[2:]
     large = rows.groupBy("part", "key").agg(F.count("*").alias("members")).where(F.col("members") > block)
     large = cut_lineage(large)
-    whole = rows
     if large.head(1):
         blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
         tagged = rows.join(large, ["part", "key"], "left")
-        mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        mine = F.pmod(F.xxhash64(rest[0]), blocks).cast("int")
         other = F.explode(F.sequence(F.lit(0), blocks - 1))
-        small = tagged.where(F.col("members").isNull()).select("part", "key", F.lit(0).cast("long").alias("pair"), "fp", "node", F.lit(0).alias("left"))
+        small = tagged.where(F.col("members").isNull()).select("part", "key", F.lit(0).cast("long").alias("pair"), *rest, F.lit(0).alias("left"))
         split = tagged.where(F.col("members").isNotNull()).withColumn("mine", mine).withColumn("blocks", blocks).withColumn("other", other)
         low, high = F.least("mine", "other").cast("long"), F.greatest("mine", "other").cast("long")
-        split = split.select("part", "key", (low * F.col("blocks") + high + 1).alias("pair"), "fp", "node", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1).alias("left"))
+        split = split.select("part", "key", (low * F.col("blocks") + high + 1).alias("pair"), *rest, F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1).alias("left"))
         whole = small.unionByName(split)
     else:
-        whole = rows.select("part", "key", F.lit(0).cast("long").alias("pair"), "fp", "node", F.lit(0).alias("left"))
-    dealt = whole.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
+        whole = rows.select("part", "key", F.lit(0).cast("long").alias("pair"), *rest, F.lit(0).alias("left"))
+    return whole.repartition("part", "key", "pair")
+
+
+def near_links(nodes: DataFrame, parts: list[Part], radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)``, a > b, whose components are those of all pairs within ``radius``; nodes has distinct ``(fp, node)``."""
+    keys = F.concat(*[_keys(p, 100 * k, F.col("fp")) for k, p in enumerate(parts)])
+    rows = nodes.select("fp", "node", F.explode(keys).alias("k")).select("k.part", "k.key", "fp", "node")
+    dealt = _dealt(rows, block).sortWithinPartitions("part", "key", "pair")
     return dealt.select("part", "key", "pair", "fp", "node", "left").mapInArrow(_links(radius), "a long, b long")
 
 
+# --- similar sets of shingles
+
+
+def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, ascending; words as in fingerprint(), few words make one shingle."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(out ^ (out >> np.uint64(32)))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+#: Common shingles: in so many sampled texts or more; the most common ones go to the driver, at most so many.
+COMMON_FROM, MOST_COMMON = 4, 100_000
+
+
+def common_hashes(texts: DataFrame) -> np.ndarray:
+    """Hashes that many of the texts ``(row, text)`` have, by a sample, ascending. They only order the prefixes, for speed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                found = [shingle_set(t) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64), pa.int64())], names=["hash"])
+
+    n = texts.count()
+    one_in = max(1, n // (4000 + n // 50))
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select("text").distinct()
+    counted = sample.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
+    top = counted.orderBy(F.desc("n"), "hash").limit(MOST_COMMON).select("hash").collect()
+    return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
+
+
+def prefix_of(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes, common ones last."""
+    if len(common) and len(hashes):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate((hashes[~late], hashes[late]))
+    return hashes[: prefix_length(len(hashes), similarity)]
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, row: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """``(row, id, fp, sig, n, prefix)``: the fingerprint; a hash of the shingle set, its size and first hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(2).to_pylist()
+                sets = [shingle_set(t) for t in texts]
+                fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+                sigs = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+                firsts = [prefix_of(s, common, similarity).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
+                    names=["row", "id", "fp", "sig", "n", "prefix"],
+                )
+
+    return docs.select(row, id_col, text_col).mapInArrow(run, f"row long, id {docs.schema[id_col].dataType.simpleString()}, fp long, sig long, n int, prefix array<long>")
+
+
+def paired_sorted(group: np.ndarray, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, left: np.ndarray, similarity: float, chain: bool) -> Iterator[np.ndarray]:
+    """Pairs of a group that sizes and places allow, of different roots; rows come sorted by group and n. ``chain``: neighbours only."""
+    at, shift, total = np.arange(len(group)), 1, len(group)
+    while len(at):
+        at = at[at + shift < total]
+        to = at + shift
+        at = at[(group[at] == group[to]) & (n[at] >= similarity * n[to] - 1e-9)]
+        to = at + shift
+        most = np.minimum(n[at] - place[at], n[to] - place[to])  # shared hashes, if this is the first
+        ok = (root[at] != root[to]) & ((left[at] == 0) | (left[at] != left[to])) & (most >= similarity / (1 + similarity) * (n[at] + n[to]) - 1e-9)
+        if ok.any():
+            a, b = sig[at[ok]], sig[to[ok]]
+            yield np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        if chain:
+            return
+        shift += 1
+
+
+def _pairs(similarity: float, chain: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def done(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, pair, *others = columns
+            if len(key):
+                change = (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
+                for found in paired_sorted(np.concatenate(([0], np.cumsum(change))), *others, similarity, chain):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [np.asarray(c) for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
+            yield from done([c[:cut] for c in columns])
+            rest = [c[cut:] for c in columns]
+        if rest is not None:
+            yield from done(rest)
+
+    return run
+
+
+def similar_candidates(sets: DataFrame, similarity: float, chain: bool, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs of signatures ``(a, b)`` that may be similar; sets has ``(sig, n, prefix, root)``, pairs of a root are left out."""
+    prefix = F.slice("prefix", 1, 4) if chain else F.col("prefix")
+    rows = sets.select("sig", "n", "root", F.posexplode(prefix).alias("place", "key")).select(F.lit(0).alias("part"), "key", "sig", "n", "place", "root")
+    dealt = _dealt(rows, block).sortWithinPartitions("key", "pair", "n")
+    return dealt.select("key", "pair", "sig", "n", "place", "root", "left").mapInArrow(_pairs(similarity, chain), "a long, b long").distinct()
+
+
+#: Up to so many texts to compare are picked by a broadcast of their numbers (16 bytes each), more by a shuffle.
+MOST_PICKED = 200_000
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose whole sets are similar; sets has ``(sig, row)``, texts ``(row, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = [shingle_set(t).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["sig", "hashes"])
+
+    pairs = cut_lineage(pairs)
+    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    wanted = cut_lineage(wanted.join(sets.select("sig", "row"), "sig"))
+    picked = texts.join(F.broadcast(wanted) if wanted.count() <= MOST_PICKED else wanted, "row").select("sig", "text")
+    hashes = cut_lineage(picked.mapInArrow(run, "sig long, hashes array<long>"))
+    met = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return met.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+
+def _similar_roots(every: DataFrame, texts: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` over the links ``near`` between fingerprints and those of similar sets; every as of signatures()."""
+    sets = every.where("n > 0").groupBy("sig").agg(F.min("fp").alias("node"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = cut_lineage(sets)
+    same = every.join(sets.select("sig", "node"), "sig").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    links = cut_lineage(near.unionByName(same).distinct())
+    roots = components(links)
+    for chain in (True, False):
+        rooted = sets.join(roots.withColumnRenamed("node", "fp"), F.col("node") == F.col("fp"), "left").select("sig", "n", "prefix", F.coalesce("root", "node").alias("root"))
+        found = similar_links(similar_candidates(rooted, similarity, chain), sets, texts, similarity)
+        a, b = sets.select(F.col("sig").alias("a"), F.col("node").alias("x")), sets.select(F.col("sig").alias("b"), F.col("node").alias("y"))
+        links = links.unionByName(found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        roots = components(links)
+    return roots
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for the nodes of links ``(a, b)``: the smallest node reachable. Alternating large and small stars."""
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -336,19 +517,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
-def _roots(nodes: DataFrame, radius: int) -> DataFrame:
-    """``(node, root)`` of the fingerprints that have links; nodes has distinct ``(fp, node)``."""
+def _near(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links ``(a, b)`` between fingerprints; nodes has distinct ``(fp, node)``."""
     n, both = joint_counts(nodes)
     if n < 2:
-        return nodes.select("node", F.col("node").alias("root"))
-    return components(near_links(nodes.select("fp", "node"), plan(n, both, radius), radius))
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return near_links(nodes.select("fp", "node"), plan(n, both, radius), radius)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Per row ``(id, fingerprint, component_id)``: 16 hex digits, and the smallest id reachable over links."""
     every = cut_lineage(fingerprints(docs, id_col, text_col, shingle).toDF("id", "fp"))
     nodes = cut_lineage(every.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.col("fp")))
-    roots = _roots(nodes, radius)
+    roots = components(_near(nodes, radius))
     named = nodes.select("fp", "least")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     # component -> smallest id of its fingerprints
@@ -372,16 +553,22 @@ def _firsts(every: DataFrame, texts: DataFrame) -> DataFrame:
     return least.where("n = 1").select("row").unionByName(smallest.select("f.row"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The documents, in their own columns, with one row of each group of near-duplicates: the one with the smallest id.
 
     Rows are told apart by a number of their own, so ids may repeat or be null. Among rows of a group with the same smallest
-    id the one with the smallest text stays; null ids come last.
+    id the one with the smallest text stays; null ids come last. With ``similarity`` texts link too whose sets of
+    ``SIMILAR_SHINGLE``-word shingles have that Jaccard similarity or more.
     """
     row = fresh(docs.columns, "_row")
     numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
-    every = cut_lineage(fingerprints(numbered, row, text_col, shingle, (id_col,)).toDF("row", "id", "fp"))
-    roots = _roots(cut_lineage(every.select("fp", F.col("fp").alias("node")).distinct()), radius)
+    texts = numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    if similarity is None:
+        every = cut_lineage(fingerprints(numbered, row, text_col, shingle, (id_col,)).toDF("row", "id", "fp"))
+    else:
+        every = cut_lineage(signatures(numbered, id_col, text_col, row, shingle, similarity, common_hashes(texts)))
+    near = _near(cut_lineage(every.select("fp", F.col("fp").alias("node")).distinct()), radius)
+    roots = components(near) if similarity is None else _similar_roots(every, texts, near, similarity)
     rooted = every.join(roots, every.fp == roots.node, "left").select("row", "id", F.coalesce("root", "fp").alias("root"))
-    winners = _firsts(rooted, numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"))).select(F.col("row").alias(row))
+    winners = _firsts(rooted, texts).select(F.col("row").alias(row))
     return numbered.join(winners, row, "left_semi").select(*docs.columns)

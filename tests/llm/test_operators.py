@@ -577,6 +577,41 @@ def test_keep_first_tells_rows_apart(spark):
     assert kept == sorted([(0, a), (0, b), (7, c), (7, d), (7, e)])
 
 
+def test_similar_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    words = [rng.choice("bcdfglmn") + str(k) for k in range(400)]
+    texts = [None, "", "one two", "One  two", "one two three", *HARD]
+    for _ in range(50):
+        base = [rng.choice(words) for _ in range(rng.randrange(5, 250))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(6)):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 15)):
+                k = rng.randrange(len(copy))
+                copy[k : k + rng.choice((0, 1, 1, 2))] = [rng.choice(words)]
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+        assert len(simhash_dedup.shingle_set(t)) == len(sets[-1])
+    fps, n = [brute_fingerprint(t) for t in texts], len(texts)
+    root, far = list(range(n)), 0
+    for a in range(n):
+        for b in range(a):
+            similar = bool(sets[a] and sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            if similar or bin(fps[a] ^ fps[b]).count("1") <= 3:
+                far += bin(fps[a] ^ fps[b]).count("1") > 3
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert far > 20
+    kept = simhash_dedup.keep_first(frame(spark, texts), similarity=simhash_dedup.SIMILARITY)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    signed = simhash_dedup.signatures(frame(spark, texts), "doc_id", "text", "doc_id", 3, 0.8, simhash_dedup.common_hashes(frame(spark, texts).selectExpr("doc_id AS row", "text"))).selectExpr("sig", "n", "prefix", "sig AS root").distinct().cache()
+    whole = {tuple(r) for r in simhash_dedup.similar_candidates(signed, 0.8, False).collect()}
+    assert whole == {tuple(r) for r in simhash_dedup.similar_candidates(signed, 0.8, False, block=2).collect()} != set()
+
+
 def test_chains_and_stars(spark):
     chain = [(k + 1, k) for k in range(60)]
     star = [(1000 + k, 999) for k in range(200)]
