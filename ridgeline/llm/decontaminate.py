@@ -202,7 +202,7 @@ def _match_block(docs: DataFrame, block: list, row_cols: list[str], text_col: st
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                     n.append(len(spelled))
                     hits.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
-                    found.append(sorted(str(automaton.items[i]) for i in items))
+                    found.append(sorted({str(automaton.items[i]) for i in items}))
                 out = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(row_cols)], *out], names=[*row_cols, *names])
 

@@ -217,6 +217,15 @@ def test_match_in_blocks_equals_one_pass(spark):
     assert one == sorted(expected)
 
 
+def test_repeated_items_count_once(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(5, item), (5, item), (12, "a b c d e f g h i")], "item_id long, text string")
+    docs = frame(spark, [f"so {item} it is", f"{item} a b c d e f g h", "none of it"])
+    for block_words in (10, 200_000):
+        got = {r.doc_id: (r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(decontaminate.match_items(docs, bench, block_words=block_words)).collect()}
+        assert got == {k: (n, hashlib.sha256(ids.encode()).hexdigest(), n >= 2) for k, (n, ids) in enumerate([(1, "5"), (2, "12,5"), (0, "")])}
+
+
 def test_spans_are_removed(spark):
     item = "one two three four five six seven eight nine ten"
     docs = [f"Before it all we had much to say here and there. {item.upper()}! After it we said even more than before.", item, "clean text", None]
