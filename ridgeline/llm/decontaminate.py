@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ridgeline.llm.common import cut_lineage, slices
+from ridgeline.llm.common import cut_lineage, fresh, slices
 
 WINDOW = 8
 #: Words of one automaton; about 200 bytes each.
@@ -226,12 +228,16 @@ def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     merged = every.groupBy("_row").agg(
         F.first("_id").alias(id_col), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hit_words"))).alias("ranges"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids")
     )
-    union = F.aggregate(
-        "ranges",
+    return merged.select(id_col, "n_words", _union("ranges").alias("hit_words"), F.array_distinct("item_ids").alias("item_ids"))
+
+
+def _union(ranges: str) -> F.Column:
+    """Sorted ranges, merged where they meet."""
+    return F.aggregate(
+        ranges,
         F.expr("cast(array() as array<struct<start:long,end:long>>)"),
         lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
     )
-    return merged.select(id_col, "n_words", union.alias("hit_words"), F.array_distinct("item_ids").alias("item_ids"))
 
 
 def digest(matched: DataFrame, id_col: str = "doc_id", least_items: int = 2) -> DataFrame:
@@ -247,10 +253,20 @@ def digest(matched: DataFrame, id_col: str = "doc_id", least_items: int = 2) ->
 COVERAGE = 0.5
 
 
+def cut_hits(text: str, hit: np.ndarray) -> str:
+    """The text without its hit words; a removed span leaves a line break."""
+    kept, at = [], 0
+    for start, end in spans_of(text, hit):
+        kept.append(text[at:start].rstrip(" "))
+        at = end
+    kept.append(text[at:].lstrip(" .,;:!?"))
+    return "\n".join(x for x in kept if x)
+
+
 def clean_text(text: str | None, automaton: Automaton, coverage: float = COVERAGE) -> str | None:
     """The text without hit spans, or None if the hits cover more than ``coverage`` of its words.
 
-    A removed span leaves a line break; scanning repeats until nothing is found, as words that meet may form a new window.
+    Scanning repeats until nothing is found, as words that meet may form a new window.
     """
     text = text or ""
     first = True
@@ -261,12 +277,7 @@ def clean_text(text: str | None, automaton: Automaton, coverage: float = COVERAG
         if first and hit.mean() > coverage:
             return None
         first = False
-        kept, at = [], 0
-        for start, end in spans_of(text, hit):
-            kept.append(text[at:start].rstrip(" "))
-            at = end
-        kept.append(text[at:].lstrip(" .,;:!?"))
-        text = "\n".join(x for x in kept if x)
+        text = cut_hits(text, hit)
         if not text:
             return None
 
@@ -274,12 +285,58 @@ def clean_text(text: str | None, automaton: Automaton, coverage: float = COVERAG
 def remove_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, length_col: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without benchmark spans, in their own columns; those that a benchmark mostly covers go.
 
-    ``length_col`` is set to the new number of characters where the text changed.
+    ``length_col`` is set to the new number of characters where the text changed. With more than one block, each round finds
+    the hits of all blocks in the same texts, merges and removes them, as one automaton over all items would.
     """
-    out = docs
-    for block in item_blocks(items, item_id_col, item_text_col, block_words):
-        out = _remove_block(out, Automaton(block, window), text_col, coverage, length_col)
-    return out
+    blocks = item_blocks(items, item_id_col, item_text_col, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    blocks.close()
+    if first is None:
+        return docs
+    if second is None:
+        return _remove_block(docs, Automaton(first, window), text_col, coverage, length_col)
+    row, ranges, changed = fresh(docs.columns, "_row"), fresh(docs.columns, "_ranges"), fresh(docs.columns, "_changed")
+    left = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    done: list[DataFrame] = []
+    while True:
+        texts = left.select(F.col(row).alias("_row"), F.col(text_col).alias("_text"))
+        passes = [_match_block(texts, b, ["_row"], "_text", window).where(F.size("hit_words") > 0) for b in item_blocks(items, item_id_col, item_text_col, block_words)]
+        hits = reduce(DataFrame.unionByName, passes).groupBy(F.col("_row").alias(row)).agg(F.array_sort(F.flatten(F.collect_list("hit_words"))).alias(ranges))
+        met = left.join(hits.select(row, _union(ranges).alias(ranges)), row, "left").select(*docs.columns, row, ranges)
+        out = cut_lineage(_remove_ranges(met, docs, changed, text_col, coverage if not done else 1.0, length_col))
+        done.append(out.where(~F.col(changed)).select(*docs.columns))
+        left = out.where(F.col(changed)).drop(changed)
+        if not left.head(1):
+            return reduce(DataFrame.unionByName, done)
+
+
+def _remove_ranges(met: DataFrame, docs: DataFrame, changed: str, text_col: str, coverage: float, length_col: str | None) -> DataFrame:
+    """One round: rows of docs' columns, a number and hit ranges, to docs' columns, the number and whether the text changed."""
+    place = docs.columns.index(text_col)
+    counted = docs.columns.index(length_col) if length_col else None
+    schema = StructType([*met.schema.fields[:-1], StructField(changed, BooleanType())])
+
+    def clean(text: str, ranges: list[dict]) -> str | None:
+        hit = np.zeros(len(words(text)), dtype=bool)
+        for r in ranges:
+            hit[r["start"] : r["end"]] = True
+        return None if hit.mean() > coverage else cut_hits(text, hit) or None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                columns = list(part.columns[:-1])
+                old, ranges = columns[place].to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                new = [clean(t, r) if r else t for t, r in zip(old, ranges, strict=True)]
+                keep = pa.array([not r or t is not None for t, r in zip(new, ranges, strict=True)], pa.bool_())
+                columns[place] = pa.array(new, columns[place].type)
+                if counted is not None:
+                    sizes = [len(t) if r and t is not None else c for c, t, r in zip(columns[counted].to_pylist(), new, ranges, strict=True)]
+                    columns[counted] = pa.array(sizes, columns[counted].type)
+                columns.append(pa.array([bool(r) for r in ranges], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(keep)
+
+    return met.mapInArrow(run, schema)
 
 
 def _remove_block(docs: DataFrame, automaton: Automaton, text_col: str, coverage: float, length_col: str | None) -> DataFrame:

@@ -237,6 +237,22 @@ def test_spans_are_removed(spark):
     assert decontaminate.remove_items(frame(spark, docs), empty).count() == 4
 
 
+def test_removal_in_blocks_equals_one_pass(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("bcdfgh") + str(rng.randrange(500)) for _ in range(n))
+    a, b = say(30), say(30)
+    tied = [f"{a[: a.rindex(' ')]} {b}", a]  # windows of both items overlap
+    items = [(1, a), (2, b), (3, " ".join(tied[0].split()[20:40])), (4, None)] + [(k, " ".join(rng.choice("abcd") for _ in range(12))) for k in range(5, 14)]
+    docs = [f"{say(20)} {a} {say(10)} {b} {say(10)}", f"{say(40)} {a}. {b} {say(80)}", f"{say(60)} {tied[0]} {say(60)}", a, None, "", f"{say(70)} {a[:60]} {b} {a[60:]} {say(70)}"]
+    docs += [f"{say(40)} {' '.join(rng.choice('abcde') for _ in range(60))}. {say(40)}" for _ in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda n: sorted(map(str, decontaminate.remove_items(clashing(frame(spark, docs)), bench, length_col="n_chars", block_words=n).collect()))
+    one = rows(200_000)
+    assert not any("doc_id=0," in r or "doc_id=3," in r for r in one) and len(one) < len(docs)
+    assert rows(25) == one
+    assert rows(40) == one
+
+
 # --- 4 token counts, 5 and 10 packing
 
 
