@@ -26,11 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first.
 
-    Documents go too that lose lines and keep less than a line's least number of words: all they had is elsewhere.
+    Documents go too that lose lines and keep less than a line's least number of words, and not many characters, as scripts
+    without blanks do: all they had is elsewhere.
     """
     kept = line_templates.drop_templates(docs, length_col="n_chars")
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    emptied = (F.col("n_dropped") > 0) & (words < line_templates.LEAST_TOKENS)
+    emptied = (F.col("n_dropped") > 0) & (words < line_templates.LEAST_TOKENS) & (F.length(F.trim("text")) < line_templates.GAP_BYTES)
     return kept.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 

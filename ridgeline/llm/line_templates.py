@@ -9,8 +9,10 @@ depend on the order of units, so the tree needs no sequential pass and no shared
 recurrence a count. (Two templates among n share a hash by chance about n / 2 ** 64 times: 5e-9 at n = 1e11.)
 
 A template that occurs in ``least_docs`` documents or more is recurring, in all documents but the one with the smallest
-id, which keeps it. Recurring units that follow each other make a run; units too short for a template (under
-``least_tokens``) join a run when they stand inside it. A run is dropped if it has ``least_run`` words or more, or if it fills
+id, which keeps it. Recurring units that follow each other make a run. Units too short for a template (under
+``least_tokens``) recur with their neighbours: if the unit and the one before it, or the one after it, stand together in other
+documents. What doesn't recur of them joins a run only up to ``MOST_GAP`` words and ``GAP_BYTES`` bytes between two recurring
+units, so that short lines of a document's own stay. A run is dropped if it has ``least_run`` words or more, or if it fills
 whole lines: short sentences that meet by chance in otherwise different lines stay. Counting pre-aggregates, so a line that a
 third of all documents have doesn't meet in one task.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +36,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ridgeline.llm.common import fresh, slices
 
 LEADING, LEAST_TOKENS, STRETCH_FROM, LEAST_DOCS, LEAST_RUN = 2, 4, 12, 2, 20
+#: Most words and bytes of short units that needn't recur between two recurring ones.
+MOST_GAP, GAP_BYTES = 8, 64
 ANY = b"<*>"
 _DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
 #: What parts units: one blank after a sentence's end, and a line break.
@@ -46,9 +51,14 @@ def units(text: str | None) -> list[bytes]:
     return parts
 
 
+def plain_units(raw: bytes) -> list[bytes]:
+    """The same units alone; replacing is some times faster than the pattern."""
+    return raw.replace(b". ", b".\n").replace(b"! ", b"!\n").replace(b"? ", b"?\n").split(b"\n")
+
+
 def distinct_units(raw: bytes) -> set[bytes]:
-    """The same units, each once; replacing is some times faster than the pattern."""
-    return set(raw.replace(b". ", b".\n").replace(b"! ", b"!\n").replace(b"? ", b"?\n").split(b"\n"))
+    """The same units, each once."""
+    return set(plain_units(raw))
 
 
 def shapes(tokens: list[bytes], leading: int = LEADING, stretch_from: int = STRETCH_FROM) -> tuple[bytes, ...]:
@@ -77,8 +87,23 @@ def unit_hash(unit: bytes) -> int:
     return xxhash.xxh3_64_intdigest(unit) - (1 << 63)
 
 
+def beside(before: bytes, after: bytes) -> bytes:
+    """The key of two units that follow each other."""
+    return b"+|" + before.strip() + b"\n" + after.strip()
+
+
+def short_pairs(lines: list[bytes], least_tokens: int = LEAST_TOKENS) -> list[bytes]:
+    """The keys of the neighbours of which one is short; blank units aside."""
+    filled = [u for u in lines if u and not u.isspace()]
+    short = [len(u.split(None, least_tokens - 1)) < least_tokens for u in filled]
+    return [beside(filled[k], filled[k + 1]) for k in range(len(filled) - 1) if short[k] or short[k + 1]]
+
+
 def unit_keys(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADING, least_tokens: int = LEAST_TOKENS, stretch_from: int = STRETCH_FROM) -> DataFrame:
-    """``(id, unit, key)``: a hash of each distinct unit of a row, and of each of its templates."""
+    """``(id, unit, key)``: a hash of each distinct unit of a row, and of each of its templates.
+
+    For neighbours of which one is short, both are the hash of the two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
@@ -90,7 +115,12 @@ def unit_keys(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADIN
                 for k, text in enumerate(part.column(1).to_pylist()):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     digits = b"0" in raw.translate(_DIGITS)
-                    for unit in distinct_units(raw):
+                    lines = plain_units(raw)
+                    for hashed in {digest(pair) - middle for pair in short_pairs(lines, least_tokens)}:
+                        take.append(k)
+                        own.append(hashed)
+                        keys.append(hashed)
+                    for unit in set(lines):
                         tokens = unit.split()
                         if len(tokens) < least_tokens:
                             continue
@@ -136,16 +166,27 @@ def dropped_runs(parts: list[bytes], gone: set[int], least_tokens: int = LEAST_T
     n = len(parts) // 2
     sizes = [len(parts[2 * k].split()) for k in range(n)]
     recurs = [sizes[k] >= least_tokens and unit_hash(parts[2 * k]) in gone for k in range(n)]
+    filled = [k for k in range(n) if sizes[k]]
+    shared = [False] * n  # short units that recur with a neighbour
+    for a, b in pairwise(filled):
+        if (sizes[a] < least_tokens or sizes[b] < least_tokens) and unit_hash(beside(parts[2 * a], parts[2 * b])) in gone:
+            shared[a], shared[b] = shared[a] or sizes[a] < least_tokens, shared[b] or sizes[b] < least_tokens
     runs, k = [], 0
     while k < n:
         if not recurs[k]:
             k += 1
             continue
         end = last = k + 1
+        words = held = 0
         while end < n and (recurs[end] or sizes[end] < least_tokens):
+            if recurs[end]:
+                words = held = 0
+                last = end + 1
+            elif not shared[end]:
+                words, held = words + sizes[end], held + len(parts[2 * end].strip())
+                if words > MOST_GAP or held > GAP_BYTES:
+                    break
             end += 1
-            if recurs[end - 1]:
-                last = end
         if sum(sizes[k:last]) >= least_run or _whole_lines(parts, k, last):
             runs.append((k, last))
         k = max(end, last)

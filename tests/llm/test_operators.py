@@ -173,6 +173,17 @@ def test_repeated_passages_stay_once(spark):
         assert out[d].text == docs[d].replace(passage + " ", "") and out[d].n_chars == len(out[d].text) and out[d].n_dropped == 14, w
 
 
+def test_own_short_lines_stay(spark):
+    head, foot = "This page was made by the club", "All rights are kept"
+    own = [f"item {chr(97 + k % 26)}{k}" for k in range(60)]
+    script = ["\u4e00\u4e8c\u4e09" * 12 + chr(0x4E00 + k) for k in range(20)]
+    chant = [f"sing {w}" for w in "abcdefghijkl"]
+    docs = ["\n".join([head, *body, foot]) for body in (["Some other line that stands here"], own, script, chant, chant, ["1", "2"])]
+    got = {r.doc_id: r.text for r in line_templates.drop_templates(frame(spark, docs)).collect()}
+    assert got[0] == docs[0] and got[1].split("\n") == own and got[2].split("\n") == script
+    assert got[3].split("\n") == chant and got[4] == "" and got[5] == ""
+
+
 # --- 3 decontamination
 
 
