@@ -92,11 +92,20 @@ def beside(before: bytes, after: bytes) -> bytes:
     return b"+|" + before.strip() + b"\n" + after.strip()
 
 
-def short_pairs(lines: list[bytes], least_tokens: int = LEAST_TOKENS) -> list[bytes]:
-    """The keys of the neighbours of which one is short; blank units aside."""
-    filled = [u for u in lines if u and not u.isspace()]
-    short = [len(u.split(None, least_tokens - 1)) < least_tokens for u in filled]
-    return [beside(filled[k], filled[k + 1]) for k in range(len(filled) - 1) if short[k] or short[k + 1]]
+def short_pairs(lines: list[bytes], sizes: dict[bytes, int], least_tokens: int = LEAST_TOKENS) -> set[bytes]:
+    """The keys of neighbours of which one is short, blank units aside, where short ones in turn are more than a gap may have."""
+    filled = [u for u in lines if sizes[u]]
+    marks = [sizes[u] < least_tokens for u in filled]
+    out: set[bytes] = set()
+    end = 0
+    while True in marks[end:]:
+        start = marks.index(True, end)
+        end = marks.index(False, start) if False in marks[start:] else len(marks)
+        part = filled[start:end]
+        if sum(map(sizes.__getitem__, part)) > MOST_GAP or sum(map(len, part)) > GAP_BYTES:
+            near = filled[max(start - 1, 0) : end + 1]
+            out.update(map(beside, near, near[1:]))
+    return out
 
 
 def unit_keys(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADING, least_tokens: int = LEAST_TOKENS, stretch_from: int = STRETCH_FROM) -> DataFrame:
@@ -116,19 +125,23 @@ def unit_keys(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADIN
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     digits = b"0" in raw.translate(_DIGITS)
                     lines = plain_units(raw)
-                    for hashed in {digest(pair) - middle for pair in short_pairs(lines, least_tokens)}:
-                        take.append(k)
-                        own.append(hashed)
-                        keys.append(hashed)
+                    sizes: dict[bytes, int] = {}
+                    few = False
                     for unit in set(lines):
                         tokens = unit.split()
+                        sizes[unit] = len(tokens)
                         if len(tokens) < least_tokens:
+                            few = True
                             continue
                         hashed = digest(unit) - middle
                         for shape in shapes(masked(tokens) if digits else tokens, leading, stretch_from):
                             take.append(k)
                             own.append(hashed)
                             keys.append(digest(shape) - middle)
+                    for hashed in {digest(pair) - middle for pair in short_pairs(lines, sizes, least_tokens)} if few else ():
+                        take.append(k)
+                        own.append(hashed)
+                        keys.append(hashed)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), pa.array(own, pa.int64()), pa.array(keys, pa.int64())], names=["id", "unit", "key"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, unit long, key long")
