@@ -445,10 +445,20 @@ def _pairs(similarity: float, chain: bool):
     return run
 
 
-def similar_candidates(sets: DataFrame, similarity: float, chain: bool, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs of signatures ``(a, b)`` that may be similar; sets has ``(sig, n, prefix, root)``, pairs of a root are left out."""
-    prefix = F.slice("prefix", 1, 4) if chain else F.col("prefix")
-    rows = sets.select("sig", "n", "root", F.posexplode(prefix).alias("place", "key")).select(F.lit(0).alias("part"), "key", "sig", "n", "place", "root")
+#: Up to so many shared hashes are broadcast (16 bytes each), more go by a shuffle.
+MOST_SHARED = 1_000_000
+
+
+def shared_hashes(signed: DataFrame) -> DataFrame:
+    """``(sig, n, place, key)``: the prefixes' hashes that two signatures or more have; signed has ``(sig, n, prefix)``."""
+    rows = signed.select("sig", "n", F.posexplode("prefix").alias("place", "key"))
+    keys = cut_lineage(rows.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key"))
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_SHARED else keys, "key").select("sig", "n", "place", "key").distinct()
+
+
+def similar_candidates(shared: DataFrame, similarity: float, chain: bool, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs of signatures ``(a, b)`` that may be similar; shared has ``(sig, n, place, key, root)``, pairs of a root are left out."""
+    rows = shared.select(F.lit(0).alias("part"), "key", "sig", "n", "place", "root")
     dealt = _dealt(rows, block).sortWithinPartitions("key", "pair", "n")
     return dealt.select("key", "pair", "sig", "n", "place", "root", "left").mapInArrow(_pairs(similarity, chain), "a long, b long").distinct()
 
@@ -478,14 +488,14 @@ def similar_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarit
 
 def _similar_roots(every: DataFrame, texts: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
     """``(node, root)`` over the links ``near`` between fingerprints and those of similar sets; every as of signatures()."""
-    sets = every.where("n > 0").groupBy("sig").agg(F.min("fp").alias("node"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = cut_lineage(sets)
+    sets = every.where("n > 0").groupBy("sig").agg(F.min("fp").alias("node"), F.min("row").alias("row"))
+    sets, shared = cut_lineage(sets), cut_lineage(shared_hashes(every))
     same = every.join(sets.select("sig", "node"), "sig").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
     links = cut_lineage(near.unionByName(same).distinct())
     roots = components(links)
     for chain in (True, False):
-        rooted = sets.join(roots.withColumnRenamed("node", "fp"), F.col("node") == F.col("fp"), "left").select("sig", "n", "prefix", F.coalesce("root", "node").alias("root"))
-        found = similar_links(similar_candidates(rooted, similarity, chain), sets, texts, similarity)
+        rooted = sets.join(roots.withColumnRenamed("node", "fp"), F.col("node") == F.col("fp"), "left").select("sig", F.coalesce("root", "node").alias("root"))
+        found = similar_links(similar_candidates(shared.join(rooted, "sig"), similarity, chain), sets, texts, similarity)
         a, b = sets.select(F.col("sig").alias("a"), F.col("node").alias("x")), sets.select(F.col("sig").alias("b"), F.col("node").alias("y"))
         links = links.unionByName(found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
         roots = components(links)

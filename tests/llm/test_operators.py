@@ -643,7 +643,8 @@ def test_similar_texts_against_brute_force(spark):
     assert far > 20
     kept = simhash_dedup.keep_first(frame(spark, texts), similarity=simhash_dedup.SIMILARITY)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
-    signed = simhash_dedup.signatures(frame(spark, texts), "doc_id", "text", "doc_id", 3, 0.8, simhash_dedup.common_hashes(frame(spark, texts).selectExpr("doc_id AS row", "text"))).selectExpr("sig", "n", "prefix", "sig AS root").distinct().cache()
+    signed = simhash_dedup.signatures(frame(spark, texts), "doc_id", "text", "doc_id", 3, 0.8, simhash_dedup.common_hashes(frame(spark, texts).selectExpr("doc_id AS row", "text")))
+    signed = simhash_dedup.shared_hashes(signed).selectExpr("*", "sig AS root").cache()
     whole = {tuple(r) for r in simhash_dedup.similar_candidates(signed, 0.8, False).collect()}
     assert whole == {tuple(r) for r in simhash_dedup.similar_candidates(signed, 0.8, False, block=2).collect()} != set()
 
