@@ -730,3 +730,14 @@ def test_null_and_repeated_ids(spark):
     assert bfd_packing.pack(docs, ranks_path()).count() >= 1 and secret_scan.scan(docs).count() == 4
     labels = spark.createDataFrame([(3, 1), (None, 0)], "doc_id long, quality int")
     assert byte_cnn.keep_good(docs, labels).count() == 4
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        whole = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64))
+        a, b = (whole[rng.random(len(whole)) < rng.random()] for _ in range(2))
+        assert simhash_dedup.least_difference(simhash_dedup.parities(a), simhash_dedup.parities(b)) <= len(np.setxor1d(a, b))
+    one, two = (np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64)) for _ in range(2))
+    assert simhash_dedup.least_difference(simhash_dedup.parities(one), simhash_dedup.parities(two)) > 0.4 * 3000
+    assert simhash_dedup.least_difference(simhash_dedup.parities(one), simhash_dedup.parities(one[:2700])) > 100
