@@ -9,6 +9,7 @@ from ridgeline.functions.text import let, tokenize
 
 #: Frequent words by language; fixed values.
 FREQUENT = {
+    "ca": ("els", "les", "dels", "amb", "és", "més", "són", "pel", "aquest", "aquesta", "però", "una"),
     "de": ("der", "die", "und", "den", "das", "von", "zu", "mit", "ist", "des", "ein", "für"),
     "en": ("the", "of", "and", "to", "is", "that", "was", "for", "it", "with", "be", "this"),
     "es": ("el", "los", "las", "del", "por", "con", "para", "una", "su", "al", "lo", "como"),

@@ -1,4 +1,4 @@
-"""Text columns: normalisation, tokens, identifiers and labels. All built-in expressions but ``nfkc``."""
+"""Text columns: normalisation, tokens, identifiers and labels. All built-in expressions but ``nfkc``, which goes to Python for texts that aren't ASCII."""
 
 from __future__ import annotations
 
@@ -37,13 +37,17 @@ def split_camel(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility form, which Spark has no function for."""
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def normalize_triple_text(c: Column, compatibility_form: bool = False) -> Column:
-    """Triples as retrieval text; case stays. ``compatibility_form`` adds NFKC, by a Pandas UDF."""
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility form, which Spark has no function for; only texts that aren't ASCII go to Python, as the others have it."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
+def normalize_triple_text(c: Column, compatibility_form: bool = True) -> Column:
+    """Triples as retrieval text, in NFKC; case stays. Without ``compatibility_form`` there are built-in expressions only."""
     c = text_or_empty(c)
     for old, new in (("|||", " . "), ("||", " . "), ("|", " "), ("_", " ")):
         c = F.replace(c, F.lit(old), F.lit(new))
@@ -54,8 +58,8 @@ def normalize_triple_text(c: Column, compatibility_form: bool = False) -> Column
     return normalize_ws(F.regexp_replace(c, rf"[^{WORD}\s\p{{Z}}.,;:()\-/]", " "))
 
 
-def normalize_text_text(c: Column, compatibility_form: bool = False) -> Column:
-    """Lexicalised text, lower case; no stemming and no stop words."""
+def normalize_text_text(c: Column, compatibility_form: bool = True) -> Column:
+    """Lexicalised text in NFKC, lower case; no stemming and no stop words."""
     c = text_or_empty(c)
     if compatibility_form:
         c = nfkc(c)

@@ -178,21 +178,26 @@ def combined_distance(a: Column, b: Column, a_vector: Column | None = None, b_ve
     return spelling if a_vector is None else weight * (1 - dot(a_vector, b_vector)) + (1 - weight) * spelling
 
 
-def diverse_pair(pool: DataFrame, keys: list[str], most: int = 32, distance: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """``(keys, question_a, question_b)``: the two questions of a key that are furthest apart; originals first.
+def diverse_pair(pool: DataFrame, keys: list[str], distance: Callable[[Column, Column], Column] | None = None, order: list[Column] | None = None, block: int = 64) -> DataFrame:
+    """``(keys, question_a, question_b, distance)``: the two questions of a key that are furthest apart; originals first.
 
-    Keys with two or more originals use only those; a single original is paired with the furthest other question. A key's
-    questions beyond the first ``most`` by hash are compared with those only, so that a key of any size makes at most
-    ``most`` pairs for each of its questions.
+    Keys with two or more originals use only those; a single original is paired with the furthest other question; ties go to
+    the questions that come first by ``order`` (by hash). All pairs of a key are compared, as a distance can be any function:
+    its questions are put into blocks, pairs of blocks are dealt to tasks, and each task keeps its furthest pair.
     """
     far = distance or (lambda a, b: combined_distance(a, b))
     n_original = F.sum(F.col("is_original").cast("int")).over(Window.partitionBy(*keys))
     used = pool.withColumn("_n", n_original).where((F.col("_n") < 2) | F.col("is_original"))
-    ranked = rank_per_key(used, keys, [F.col("is_original").desc(), stable_order(F.col("question")), F.col("question")], "_i")
-    a = ranked.where((F.col("_i") <= most) & ((F.col("_n") != 1) | F.col("is_original"))).select(*keys, F.col("question").alias("question_a"), F.col("_i").alias("_a"))
-    b = ranked.select(*keys, F.col("question").alias("question_b"), F.col("_i").alias("_b"))
-    pairs = a.join(b, keys).where("_a < _b").withColumn("_d", far(F.col("question_a"), F.col("question_b")))
-    return first_per_key(pairs, keys, [F.col("_d").desc(), F.col("_a"), F.col("_b")]).select(*keys, "question_a", "question_b", F.round("_d", 6).alias("distance"))
+    ranked = rank_per_key(used, keys, [F.col("is_original").desc(), *(order or [stable_order(F.col("question")), F.col("question")])], "_i")
+    blocks = ranked.groupBy(*keys, F.floor((F.col("_i") - 1) / block).cast("int").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", "question"))).alias("_items"), F.max("_n").alias("_n"))
+    blocks = blocks.withColumn("_last", F.max("_b").over(Window.partitionBy(*keys)))
+    # with one original only its block, the first, has left members
+    left = blocks.where("_n <> 1 or _b = 0").select(*keys, F.col("_b").alias("_lo"), F.explode(F.sequence("_b", "_last")).alias("_hi"), F.when(F.col("_n") == 1, F.slice("_items", 1, 1)).otherwise(F.col("_items")).alias("_x"))
+    right = blocks.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_lo"), F.col("_b").alias("_hi"), F.col("_items").alias("_y"))
+    met = left.join(right, [*keys, "_lo", "_hi"]).select(*keys, F.explode("_x").alias("a"), "_y").select(*keys, "a", F.explode("_y").alias("b")).where("a._i < b._i")
+    apart = met.withColumn("_d", far(F.col("a.question"), F.col("b.question")))
+    best = apart.groupBy(*keys).agg(F.max(F.struct(F.col("_d"), (-F.col("a._i")).alias("a"), (-F.col("b._i")).alias("b"), F.col("a.question").alias("question_a"), F.col("b.question").alias("question_b"))).alias("f"))
+    return best.select(*keys, "f.question_a", "f.question_b", F.round("f._d", 6).alias("distance"))
 
 
 def select_four(qa: DataFrame, keys: list[str] = ENTITY_KEY, seed: int = 42, pairs: DataFrame | None = None) -> DataFrame:

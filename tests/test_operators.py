@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.functions import model_output, numbers, questions, rules, stable, text
+from ridgeline.functions import edits, model_output, numbers, questions, rules, stable, text
 from ridgeline.operators import collection, encoders, fusion, metrics, qrels, report, retrieval
 from ridgeline.operators import questions as qa
 from ridgeline.plans import matrix
@@ -87,19 +87,37 @@ def test_question_punctuation(spark):
     assert values(spark, questions.normalize_spanish_question(c), spanish) == ["¿Qué país es?", "¿En qué año fue?", "¿Cuántos son?", "¿Según qué ley?", "¿La casa?", ""]
 
 
-def test_safe_edits():
+def corrected(spark, said, proposed, lang="en", spelling=False):
+    df = spark.createDataFrame([(said, proposed)], f"x string, e {edits.EDITS}")
+    return df.select(edits.edited(F.col("x"), F.col("e"), lang, spelling)).first()[0]
+
+
+def test_safe_edits(spark):
     said = "the order of Robert Smith has 12 item's"
-    edit = lambda a, n, new, cat, rule="R": {"offset": a, "length": n, "replacement": new, "rule_id": rule, "category": cat, "message": ""}
-    edits = [edit(0, 3, "The", "CASING"), edit(13, 6, "Rupert", "GRAMMAR"), edit(30, 2, "13", "GRAMMAR"), edit(26, 3, "had", "GRAMMAR"), edit(33, 6, "items", "TYPOS"), edit(27, 1, "x", "GRAMMAR")]
-    fixed, log = questions.apply_edits(said, edits)
-    assert fixed == "The order of Robert Smith had 12 item's" and [e["after"] for e in log] == ["The", "had"]
-    assert questions.merged([(3, 5), (0, 2), (2, 3), (7, 9)]) == [(0, 5), (7, 9)]
-    assert questions.protected_spans("Who met NASA in Cape Canaveral on 3,5?") == [(8, 33), (34, 37)]
+    edit = lambda a, n, new, cat, rule="R": (a, n, new, rule, cat, "")
+    proposed = [edit(0, 3, "The", "CASING"), edit(13, 6, "Rupert", "GRAMMAR"), edit(30, 2, "13", "GRAMMAR"), edit(26, 3, "had", "GRAMMAR"), edit(33, 6, "items", "TYPOS"), edit(27, 1, "x", "GRAMMAR")]
+    fixed = corrected(spark, said, proposed)
+    assert fixed.text == "The order of Robert Smith had 12 item's" and [e["after"] for e in fixed.log] == ["The", "had"]
+    assert corrected(spark, "a  b", [(1, 2, " ", "R", "WHITESPACE", "m")]).text == "a b"
+    assert corrected(spark, None, None) == ("", []) and corrected(spark, None, proposed) == ("", []) and corrected(spark, "abc", None) == ("abc", [])
+    # spelling only on demand, one small word for one; two insertions at a place, and one where another edit starts
+    assert corrected(spark, "the huose", [edit(4, 5, "house", "TYPOS")]).text == "the huose"
+    assert corrected(spark, "the huose", [edit(4, 5, "house", "TYPOS", "MORFOLOGIK_RULE_EN")], spelling=True).text == "the house"
+    assert corrected(spark, "who is it", [edit(3, 0, ",", "PUNCTUATION"), edit(0, 3, "Who", "CASING"), edit(4, 2, "was", "MISC"), edit(4, 0, "-", "PUNCTUATION")]).text == "Who, -was it"
+    assert corrected(spark, "el dia 😀 de", [edit(9, 2, "del", "GRAMMAR")], "es").text == "el dia 😀 del"
+
+
+def test_protected_places(spark):
+    df = spark.createDataFrame([("Who met NASA in Cape Canaveral on 3,5?",), ("A big McLaren. Then",), ("Here Robert stays. Robert goes",), ("",), (None,)], "x string")
+    assert [[tuple(s) for s in r[0]] for r in df.select(edits.protected("x")).collect()] == [[(8, 33), (34, 37)], [(6, 13)], [(0, 11)], [], []]
+
+
+def test_quotes_of_any_depth(spark):
+    c = questions.strip_outer_quotes(F.col("x"))
+    assert values(spark, c, ["\"" * 9 + " a " + "\"" * 9, "'a", "\"'\"", "“ ‘a’ ” b", "' “a” '", "\"\"", "", "\"" * 7]) == ["a", "'a", "'", "“ ‘a’ ” b", "a", "", "", "\""]
 
 
-def test_edit_and_distance_columns(spark):
-    df = spark.createDataFrame([("a  b", [(1, 2, " ", "R", "WHITESPACE", "m")]), (None, None)], f"x string, e {questions.EDITS}")
-    assert [(r[0].text, len(r[0].log)) for r in df.select(questions.edited(F.col("x"), F.col("e"), "en")).collect()] == [("a b", 1), ("", 0)]
+def test_distance(spark):
     assert spark.createDataFrame([("abcd", "bcde")], "a string, b string").select(questions.syntactic_distance("a", "b")).first()[0] == pytest.approx(0.25)
 
 
