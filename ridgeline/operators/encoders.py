@@ -34,6 +34,21 @@ class HashingEncoder:
         return (out / np.where(norms > 0, norms, 1)).astype(np.float32).tolist()
 
 
+class HashingWords:
+    """A unit vector for each word, from its hash: a deterministic stand-in for a multi-vector model."""
+
+    def __init__(self, size: int = 16):
+        self.size = size
+
+    def encode(self, texts: list[str]) -> list[list[list[float]]]:
+        return [[self.vector(word) for word in text.lower().split()] for text in texts]
+
+    def vector(self, word: str) -> list[float]:
+        digest = hashlib.sha256(word.encode()).digest()
+        raw = np.frombuffer((digest * (1 + self.size // 32))[: self.size], dtype=np.uint8).astype(np.float64) - 127.5
+        return (raw / np.linalg.norm(raw)).astype(np.float32).tolist()
+
+
 def _mapped(df: DataFrame, column: str, name: str, kind, make: Callable[[], Callable[[list[str]], list]], arrow: pa.DataType, batch_size: int) -> DataFrame:
     keep = [c for c in df.columns if c != name]
     place = keep.index(column)
@@ -59,6 +74,15 @@ def embed(df: DataFrame, column: str, make: Callable[[], Encoder], name: str = "
     return _mapped(df, column, name, ArrayType(FloatType()), load, pa.list_(pa.float32()), batch_size)
 
 
+def embed_words(df: DataFrame, column: str, make: Callable[[], HashingWords] = HashingWords, name: str = "vecs", batch_size: int = 256) -> DataFrame:
+    """Adds a list of vectors of a text column."""
+
+    def load() -> Callable[[list[str]], list]:
+        return make().encode
+
+    return _mapped(df, column, name, ArrayType(ArrayType(FloatType())), load, pa.list_(pa.list_(pa.float32())), batch_size)
+
+
 def generate(df: DataFrame, prompt: str, make: Callable[[], Callable[[list[str]], list[str]]], name: str = "output", batch_size: int = 8) -> DataFrame:
     """Adds what a model answers to a prompt column."""
     return _mapped(df, prompt, name, StringType(), make, pa.string(), batch_size)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.functions import edits as edit_text
 from ridgeline.functions import language, model_output, numbers, rules, stable, text
 from ridgeline.functions import questions as question_text
 from ridgeline.operators import collection, fusion, metrics, qrels, report, retrieval
@@ -16,6 +17,7 @@ from ridgeline.plans import experiment, fixture
 from ridgeline.plans.fixture import FIXTURE_SQL, table
 from ridgeline.plans.matrix import matrix
 from ridgeline.sources import tables
+from ridgeline.sources.checkpoint import keep
 from ridgeline.streaming.resume import todo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,16 +51,16 @@ def split_camel(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.split_camel(F.replace("text", F.lit(" "), F.lit("")))).alias("digest"))
 
 
-@query("SELECT base_id, lang, triples FROM docs", fixed=True)
+@query("SELECT base_id, lang, concat(triples, ' fine 12 TEL') AS triples FROM docs", fixed=True)
 def triple_normalize(spark, d):
     kept, _ = collection.eligible(fixture.entries(spark, d))
     mixed = collection.mix_entries(kept, pattern=stable.mixed_pattern_by_hash(F.col("base_id"), F.size("mtriples")))
-    return collection.tripleset_docs(mixed).select("base_id", "lang", text.normalize_triple_text(F.col("triples")).alias("triples"))
+    return collection.tripleset_docs(mixed).select("base_id", "lang", text.normalize_triple_text(F.concat("triples", F.lit(" ﬁne １２ ℡"))).alias("triples"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(replace(text, '_', ' ')), '[^\p{L}\p{N}_\s.,;:()\-/]', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(replace(concat(text, CASE WHEN doc_id % 3 = 0 THEN ' fine 12 tel' ELSE '' END), '_', ' ')), '[^\p{L}\p{N}_\s.,;:()\-/]', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
 def text_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text_text(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text_text(F.concat("text", F.when(F.col("doc_id") % 3 == 0, " ﬁne １２ ℡").otherwise("")))).alias("digest"))
 
 
 TOKENS = r"list_filter(string_split_regex(lower(replace({0}, '_', ' ')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
@@ -192,13 +194,25 @@ def translation_rules(spark, d):
     return q.select("qa_row_id", F.size(rules.translation_errors(english, F.col("answer"), spanish, F.col("answer"), lex)).alias("n_errors"))
 
 
-@query("SELECT o_orderkey, o_orderpriority AS text, CAST(0 AS int) AS n_edits FROM orders WHERE o_orderkey < 0 UNION ALL SELECT o_orderkey, concat('The order ', o_orderkey, ' of Robert Smith is here.'), 1 FROM orders")
+#: Sentences (%s: an order's number), proposals (offset, length, replacement, category), the text that must come out, and the edits made.
+EDIT_CASES = (
+    ("Mr Robert Smith sent  order %s", ((15, 0, "x", "GRAMMAR"), (20, 2, " ", "WHITESPACE"), (3, 6, "Rupert", "GRAMMAR")), "Mr Robert Smith sent order %s", 1),
+    ("where is the the order %s", ((0, 5, "Where", "CASING"), (9, 7, "the", "GRAMMAR")), "Where is the order %s", 2),
+    ("Where did Madird order %s", ((10, 6, "Madrid", "TYPOS"), (6, 3, "does", "CONFUSED_WORDS")), "Where does Madird order %s", 1),
+    ("a an order %s", ((0, 4, "an", "GRAMMAR"), (2, 2, "a", "GRAMMAR"), (5, 5, "", "GRAMMAR")), "an order %s", 1),
+    ("Who then made order %s", ((3, 0, ",", "PUNCTUATION"), (9, 4, "makes", "STYLE"), (9, 4, "built", "MISC"), (90, 4, "is", "MISC")), "Who, then made order %s", 1),
+    ("It is 12 km to order %s", ((6, 2, "13", "GRAMMAR"), (12, 2, "to\t", "GRAMMAR"), (3, 2, "was", "MISC")), "It was 12 km to order %s", 1),
+    ("Cual es order %s", ((0, 4, "Cuál", "MISC"), (5, 2, "is", "GRAMMAR")), "Cuál es order %s", 1),
+)
+_EDIT_WHENS = lambda k: " ".join(f"WHEN {i} THEN " + (f"replace('{c[2]}', '%s', cast(o_orderkey AS varchar))" if k == 2 else str(c[3])) for i, c in enumerate(EDIT_CASES))
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % {len(EDIT_CASES)} {_EDIT_WHENS(2)} END AS text, cast(CASE o_orderkey % {len(EDIT_CASES)} {_EDIT_WHENS(3)} END AS int) AS n_edits FROM orders")
 def safe_edits(spark, d):
-    said = F.concat(F.lit("The order "), F.col("o_orderkey").cast("string"), F.lit(" of Robert Smith is  here."))
-    at = F.length(F.concat(F.lit("The order "), F.col("o_orderkey").cast("string"))) + F.length(F.lit(" of Robert Smith is"))
-    edit = lambda offset, length, new, category: F.struct(offset.cast("int").alias("offset"), F.lit(length).alias("length"), F.lit(new).alias("replacement"), F.lit("R").alias("rule_id"), F.lit(category).alias("category"), F.lit("").alias("message"))
-    edits = F.array(edit(at, 2, " ", "WHITESPACE"), edit(at - 12, 5, "Smyth", "GRAMMAR"), edit(F.lit(10), 1, "9", "GRAMMAR"))
-    out = table(spark, d, "orders").select("o_orderkey", question_text.edited(said, edits, "en").alias("e"))
+    rows = [(k, said, [(a, n, new, "R", category, "") for a, n, new, category in proposed]) for k, (said, proposed, _, _) in enumerate(EDIT_CASES)]
+    cases = spark.createDataFrame(rows, f"k int, said string, edits {edit_text.EDITS}")
+    met = table(spark, d, "orders").withColumn("k", (F.col("o_orderkey") % len(EDIT_CASES)).cast("int")).join(F.broadcast(cases), "k")  # a row per case
+    out = met.select("o_orderkey", edit_text.edited(F.replace("said", F.lit("%s"), F.col("o_orderkey").cast("string")), F.col("edits"), "en").alias("e"))
     return out.select("o_orderkey", "e.text", F.size("e.log").alias("n_edits"))
 
 
@@ -377,7 +391,7 @@ def qa_filter(spark, d):
   UNION ALL SELECT 'queries_by_lang', query_lang, count(*) FROM queries WHERE qid IN (SELECT qid FROM qrels) GROUP BY query_lang
   UNION ALL SELECT 'queries_by_type', question_type3, count(*) FROM queries WHERE qid IN (SELECT qid FROM qrels) GROUP BY question_type3)""", fixed=True)
 def manifest_counts(spark, d):
-    return qrels.manifest(*_judged(spark, d))
+    return qrels.manifest(*[keep(df) for df in _judged(spark, d)])
 
 
 @query("SELECT DISTINCT base_id, qa_row_id FROM (SELECT base_id, unnest(mtriples) AS t FROM entries) JOIN qa ON lower(t) = lower(mtriple)", fixed=True)
@@ -476,34 +490,49 @@ def _multi(spark, d):
 
 
 _MULTI = """
-g AS (SELECT vec_id // 8 AS grp, vec_id, embedding::double[] AS e FROM embeddings),
-ca AS (SELECT DISTINCT q.grp AS qid, x.grp AS docno FROM g q, g x WHERE abs(q.grp - x.grp) <= 20),
-be AS (SELECT qid, docno, q.vec_id, max(list_dot_product(q.e, x.e)) AS m FROM ca JOIN g q ON q.grp = qid JOIN g x ON x.grp = docno GROUP BY qid, docno, q.vec_id),
-ms AS (SELECT qid, docno, round(sum(m), 6) AS score FROM be GROUP BY qid, docno)
+g AS (SELECT vec_id // 8 AS grp, vec_id, embedding::double[] AS e FROM embeddings), f AS (SELECT grp, arg_min(e, vec_id) AS e FROM g GROUP BY grp),
+ca AS (SELECT qid, docno, rank FROM (SELECT q.grp AS qid, x.grp AS docno, row_number() OVER (PARTITION BY q.grp ORDER BY round(list_dot_product(q.e, x.e), 6) DESC, x.grp) AS rank FROM f q, f x) WHERE rank <= 100),
+be AS (SELECT qid, docno, rank AS cr, q.vec_id, max(list_dot_product(q.e, x.e)) AS m FROM ca JOIN g q ON q.grp = qid JOIN g x ON x.grp = docno GROUP BY qid, docno, rank, q.vec_id),
+ms AS (SELECT qid, docno, cr, round(sum(m), 6) AS score FROM be GROUP BY qid, docno, cr)
 """
 
 
-def _near_candidates(docs, queries):
-    around = queries.select("qid", F.explode(F.sequence(F.col("qid") - 20, F.col("qid") + 20)).alias("docno"))
-    return around.withColumn("rank", (F.col("docno") - F.col("qid") + 21).cast("int"))
+def _candidates(docs, queries):
+    """The first stage: the best 100 by the groups' first vectors."""
+    first = lambda df: df.withColumn("embedding", F.col("vecs")[0])
+    return retrieval.dense(first(docs), first(queries), k=100)
 
 
-@query(f"WITH {_MULTI} SELECT qid, docno, score, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM ms) WHERE rank <= 10")
+@query(f"WITH {_MULTI} SELECT qid, docno, score, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cr) AS rank FROM ms) WHERE rank <= 10")
 def maxsim_rerank(spark, d):
     docs, queries = _multi(spark, d)
-    return retrieval.rerank(_near_candidates(docs, queries), queries, docs, k=10)
+    return retrieval.rerank(_candidates(docs, queries), queries, docs, k=10)
+
+
+@query("""WITH g AS (SELECT vec_id // 8 AS grp, vec_id, embedding::double[] AS e FROM embeddings),
+be AS (SELECT q.grp AS qid, x.grp AS docno, q.vec_id, max(list_dot_product(q.e, x.e)) AS m FROM g q, g x GROUP BY q.grp, x.grp, q.vec_id), ms AS (SELECT qid, docno, round(sum(m), 6) AS score FROM be GROUP BY qid, docno)
+SELECT qid, docno, score, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM ms) WHERE rank <= 10""")
+def maxsim_full_index(spark, d):
+    docs, queries = _multi(spark, d)
+    return retrieval.multi_vector(docs, queries, k=10)
+
+
+def _with_strangers(docs, queries):
+    """Candidates, and as many again of unknown documents and of unknown queries."""
+    found = _candidates(docs, queries).select("qid", "docno")
+    return found.unionByName(found.withColumn("docno", -1 - F.col("docno"))).unionByName(found.withColumn("qid", -1 - F.col("qid")))
 
 
 @query(f"WITH {_MULTI} SELECT qid, docno FROM ca")
 def candidate_semijoin(spark, d):
     docs, queries = _multi(spark, d)
-    return retrieval.keep_known(_near_candidates(docs, queries), queries, docs).select("qid", "docno")
+    return retrieval.keep_known(_with_strangers(docs, queries), queries, docs)
 
 
 @query(f"WITH {_MULTI} SELECT count(*) AS n_candidate_pairs FROM ca")
 def candidate_pair_count(spark, d):
     docs, queries = _multi(spark, d)
-    return retrieval.candidate_pairs(retrieval.keep_known(_near_candidates(docs, queries), queries, docs))
+    return retrieval.candidate_pairs(retrieval.keep_known(_with_strangers(docs, queries), queries, docs))
 
 
 def _two_runs(spark, d, k=50):
@@ -548,16 +577,16 @@ def fuse_union(spark, d):
     return fusion.candidate_union(*_two_runs(spark, d), k=100)
 
 
-@query(f"""WITH {_MULTI}, tr AS (SELECT qid, docno, docno - qid + 21 AS rank, 1.0 / (docno - qid + 21) AS score FROM ca), xr AS (SELECT qid, docno, qid - docno + 21 AS rank, 1.0 / (qid - docno + 21) AS score FROM ca),
+@query(f"""WITH {_MULTI}, tr AS (SELECT qid, docno, rank, 1.0 / rank AS score FROM ca), xr AS (SELECT qid, docno, 101 - rank AS rank, 1.0 / (101 - rank) AS score FROM ca),
 un AS (SELECT qid, docno, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, docno ORDER BY rank, src) AS p FROM (SELECT *, 0 AS src FROM tr UNION ALL SELECT *, 1 FROM xr)) WHERE p = 1),
 po AS (SELECT qid, docno, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS cr FROM un),
-rr AS (SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cr) AS rank FROM ms JOIN po USING (qid, docno) WHERE cr <= 15)
+rr AS (SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, po.cr) AS rank FROM ms JOIN po USING (qid, docno) WHERE po.cr <= 15)
 SELECT qid, docno, score, cast(rank AS int) AS rank FROM rr WHERE rank <= 5""")
 def cascade(spark, d):
     docs, queries = _multi(spark, d)
-    near = retrieval.keep_known(_near_candidates(docs, queries), queries, docs)
+    near = keep(_candidates(docs, queries))
     one = near.withColumn("score", 1.0 / F.col("rank"))
-    two = near.withColumn("rank", 42 - F.col("rank")).withColumn("score", 1.0 / F.col("rank"))
+    two = near.withColumn("rank", 101 - F.col("rank")).withColumn("score", 1.0 / F.col("rank"))
     return fusion.cascade(one, two, queries, docs, k=5, depth=15)
 
 
@@ -615,13 +644,14 @@ pq AS (
 
 
 def _contained(spark, d):
-    """Passages that stand in a document whole: both sides share their first eight words, which are joined on."""
+    """Passages of four words or more that stand in a document whole, from a word's start: candidates share the first four words."""
     docs, queries = _pool(spark, d)
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    first = queries.select("qid", "query", F.array_join(F.slice(words(F.col("query")), 1, 4), " ").alias("k"))
-    w = docs.select("docno", "text", words(F.col("text")).alias("w"))
-    grams = w.select("docno", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("k"))
-    return grams.join(first, "k").where(F.instr(F.col("text"), F.col("query")) > 0).select("qid", "docno", F.lit(1).alias("relevance")).distinct()
+    first = queries.select("qid", F.array_join(F.slice(words(F.col("query")), 1, 4), " ").alias("k"))
+    w = docs.select("docno", words(F.col("text")).alias("w"))
+    grams = w.select("docno", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("k"))
+    met = keep(grams.join(first, "k").select("qid", "docno").distinct())  # ids only; the texts come by them
+    return keep(met.join(queries, "qid").join(docs, "docno").where(F.instr(F.col("text"), F.col("query")) > 0).select("qid", "docno", F.lit(1).alias("relevance")))
 
 
 def _evaluated(spark, d):
@@ -672,10 +702,10 @@ def summary_by_split(spark, d):
 
 @query()
 def matrix_summary(spark, d):
-    """Lexical retrieval of each representation, the fusions, metrics and their roll-up, over the facts' collection."""
+    """Lexical, dense and multi-vector retrieval of each representation, the fusions, the cascade, metrics and their roll-up, over the facts' collection."""
     docs, queries, judged = _judged(spark, d)
     one = ("en",)
-    runs = matrix(query_langs=one, triple_langs=one, concat_langs=one, text_langs=one, hybrid_langs=one, methods=("bm25",), top_k_base=50, top_k_final=20)
+    runs = matrix(query_langs=one, triple_langs=one, concat_langs=one, text_langs=one, hybrid_langs=one, methods=("bm25", "dense"), top_k_base=50, top_k_final=20)
     return metrics.summary_cube(experiment.evaluate(experiment.execute(runs, docs, queries), queries, judged))
 
 
@@ -923,6 +953,16 @@ def diverse_pair(spark, d):
     return qa_ops.diverse_pair(qa, ["category", "eid"])
 
 
+@query("""
+, p AS (SELECT DISTINCT category, question, trim(correction_flag) = '' AS o FROM oq WHERE question_type = 'extractive' AND question <> ''), n AS (SELECT *, sum(cast(o AS int)) OVER (PARTITION BY category) AS n_orig FROM p),
+u AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY o DESC, question) AS i FROM n WHERE n_orig < 2 OR o),
+pr AS (SELECT a.category, a.question AS question_a, b.question AS question_b, cast(levenshtein(a.question, b.question) AS double) AS distance, a.i AS ai, b.i AS bi FROM u a JOIN u b ON a.category = b.category AND a.i < b.i WHERE a.n_orig <> 1 OR a.o)
+SELECT category, question_a, question_b, distance FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY distance DESC, ai, bi) AS r FROM pr) WHERE r = 1""", fixed=True)
+def diverse_pair_by_edits(spark, d):
+    qa = fixture.order_questions(spark, d).where("question_type = 'extractive' and question <> ''").select("category", "question", (F.trim("correction_flag") == "").alias("is_original")).distinct()
+    return qa_ops.diverse_pair(qa, ["category"], distance=lambda a, b: F.levenshtein(a, b).cast("double"), order=[F.col("question")], block=16)
+
+
 @query()
 def select_four_diverse(spark, d):
     qa = fixture.order_questions(spark, d)

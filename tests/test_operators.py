@@ -214,9 +214,86 @@ def test_dense_blocks_and_encoder(spark):
     assert retrieval.dense(docs, asked.where("false"), 5).count() == 0
 
 
+def test_multi_vectors_by_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vecs = [np.round(rng.normal(size=(int(rng.integers(0, 5)), 3)), 3) for _ in range(40)]
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)] + [(99, None)], "docno long, vecs array<array<double>>").repartition(3)
+    asked = docs.where("docno < 12").withColumnRenamed("docno", "qid")
+    sim = lambda q, d: round(float((q @ d.T).max(1).sum()), 6) if len(q) and len(d) else 0.0
+    expected = sorted((q, d, sim(vecs[q], vecs[d]), rank) for q in range(12) for rank, d in enumerate(sorted(range(40), key=lambda d: (-sim(vecs[q], vecs[d]), d))[:6], 1))
+    for most, cells in ((4096, 1 << 24), (5, 16)):
+        monkeypatch.setattr(retrieval, "MOST_VECTORS", most)
+        monkeypatch.setattr(retrieval, "MOST_CELLS", cells)
+        assert sorted(map(tuple, retrieval.multi_vector(docs, asked, 6).select("qid", "docno", "score", "rank").collect())) == expected
+
+
+def test_bm25_and_sparse_without_broadcast(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b a c", "", None, "b b", "zz a", "c"] * 4)], "docno long, text string")
+    asked = spark.createDataFrame([(0, "a b"), (1, "c c q"), (2, ""), (3, None)], "qid long, query string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    small = key(retrieval.bm25_scores(docs, asked))
+    assert small and small == key(retrieval.bm25_scores(docs, asked, most_broadcast=0))
+    d, q = retrieval.tf_weights(docs, "docno", "text"), retrieval.tf_weights(asked, "qid", "query")
+    small = key(retrieval.sparse_scores(d, q))
+    assert small and small == key(retrieval.sparse_scores(d, q, most_broadcast=0))
+    assert {(r.term, r.docno, r.tf, r.dl) for r in retrieval.postings(docs).where("docno < 4").collect()} == {("a", 0, 2, 4), ("b", 0, 1, 4), ("c", 0, 1, 4), ("b", 3, 2, 2)}
+
+
+def test_every_run_of_the_matrix(spark):
+    from ridgeline.plans import experiment
+
+    names = ["red fox", "blue whale", "green tea", "red tea", "old fox"]
+    docs = spark.createDataFrame([(f"d{k}", f"{n} runs {k}", f"the {n} is here", f"{n} runs {k} the {n} is here") for k, n in enumerate(names)], "docno string, triples_en string, text_en string, concat_en string")
+    queries = spark.createDataFrame([(f"q{k}", f"where is the {n}", "en", "test", "yes") for k, n in enumerate(names)], "qid string, query string, query_lang string, split string, question_type3 string")
+    one = ("en",)
+    runs = list(matrix.matrix(query_langs=one, triple_langs=one, concat_langs=one, text_langs=one, hybrid_langs=one, top_k_base=4, top_k_final=3))
+    done = experiment.execute(runs, docs, queries)
+    assert list(done) == [r.name for r in runs] and len(runs) == 22
+    depth = {r.name: r.k for r in runs}
+    for name, df in done.items():
+        rows = df.collect()
+        assert {r.qid for r in rows} == {f"q{k}" for k in range(5)} and max(r["rank"] for r in rows) <= depth[name], name
+    best = {r.qid: r.docno for r in done["multivector__text__qen_den"].where("rank = 1").collect()}
+    assert best == {f"q{k}": f"d{k}" for k in range(5)}
+    cascade = done["multivector__hybrid_cascade__qen_den"].collect()
+    pool = {(r.qid, r.docno) for r in done["bm25__hybrid_union_candidates__qen_den"].collect()}
+    assert {(r.qid, r.docno) for r in cascade} <= pool and {r.qid: r.docno for r in cascade if r["rank"] == 1} == best
+    with pytest.raises(ValueError, match="no such method"):
+        experiment.execute([matrix.Run("other", "text", "en", "en", 3)], docs, queries)
+    with pytest.raises(ValueError, match="aren't there"):
+        experiment.execute([matrix.Run("bm25", "hybrid_rrf", "en", "en", 3, ("x", "y"))], docs, queries)
+
+
+def test_furthest_pairs_by_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    pool = [(f"k{k % 3}", "".join(rng.choice("abc") for _ in range(6)) + str(i), k % 3 == 0 or (k % 3 == 1 and i == 4)) for k in range(3) for i in range(11)]
+    df = spark.createDataFrame(pool, "category string, question string, is_original boolean")
+    got = {r.category: (r.question_a, r.question_b, r.distance) for r in qa.diverse_pair(df, ["category"], lambda a, b: F.levenshtein(a, b).cast("double"), [F.col("question")], block=3).collect()}
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return float(row[-1])
+
+    for category in ("k0", "k1", "k2"):
+        own = sorted((not o, q) for c, q, o in pool if c == category)
+        n = sum(not late for late, _ in own)
+        used = [q for late, q in own if n < 2 or not late]
+        pairs = [(-apart(a, b), i, j, a, b) for i, a in enumerate(used) for j, b in enumerate(used) if i < j and (n != 1 or i == 0)]
+        far, _, _, a, b = min(pairs)
+        assert got[category] == (a, b, -far)
+
+
 def test_max_sim_and_unit(spark):
     df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[0.5, 0.2], [0.1, 0.9]]), ([], [[1.0, 0.0]])], "q array<array<double>>, d array<array<double>>")
-    assert [r[0] for r in df.select(retrieval.max_sim(F.col("q"), F.col("d"))).collect()] == pytest.approx([1.4, 0.0])
+    assert [r[0] for r in retrieval.max_sim(df, "q", "d").collect()] == pytest.approx([1.4, 0.0])
     assert spark.range(1).select(retrieval.unit(F.array(F.lit(3.0), F.lit(4.0)))).first()[0] == pytest.approx([0.6, 0.8])
 
 
