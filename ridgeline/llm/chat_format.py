@@ -7,9 +7,13 @@ a turn's text lies in its span is found by rendering the turn with two other tex
 and at the back is the template's own. Control strings in texts are escaped before rendering, reversibly, so no text can
 open or close a turn.
 
-Turns are sorted and streamed; a task holds at most ``most_turns`` turns or ``most_chars`` characters of a conversation,
-after which prefixes start anew at the last turn (so a template may look back that far). A conversation of any length is
-thus formatted in bounded memory and linear time; its turns come out as rows.
+Turns are sorted and streamed, and come out as rows. A template may state how many turns it looks back, as an attribute
+``looks_back``: what a turn adds then depends on no earlier ones, whose number included, and nothing before them is
+rewritten. Only those turns are held and rendered, so a conversation of any length takes bounded memory and linear time;
+``chatml`` looks back on none. Of a template that states nothing every prefix is rendered whole, however long.
+
+A span lies where the output stood when its turn was added. Where a later turn rewrites from before a span's end, that span
+no longer holds; ``final_spans`` says which do.
 
 Defined results: null texts and null roles are empty; rows are ordered by turn, then role, then text, nulls first; repeated
 rows are turns of their own; conversations with a null id are one conversation. An empty table gives no rows. Only the named
@@ -24,7 +28,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import slices
@@ -52,6 +56,10 @@ def chatml(messages: list[tuple[str, str]]) -> str:
     return "".join([f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in messages])
 
 
+#: Each turn is rendered by itself.
+chatml.looks_back = 0
+
+
 def escape_role(role: str) -> str:
     return escape(role).replace("\n", "\\\n")
 
@@ -66,17 +74,17 @@ def parse_turn(segment: str) -> tuple[str, str]:
 
 
 class Renderer:
-    """Renders one conversation turn by turn."""
+    """Renders one conversation turn by turn. ``looks_back``: turns that the template depends on, None for all."""
 
-    def __init__(self, template: Template, most_turns: int = 64, most_chars: int = 1 << 20):
-        self.template, self.most_turns, self.most_chars = template, most_turns, most_chars
+    def __init__(self, template: Template, looks_back: int | None = None):
+        self.template, self.looks_back = template, looks_back
         self.held: list[tuple[str, str]] = []
         self.before, self.position, self.rewrites = "", 0, False
 
     def add(self, role: str, text: str) -> tuple[str, int, int, int, bool]:
         """The turn's span as a string, its start in the whole, the text's start and end in the span, and whether the text is there as it was given."""
-        if len(self.held) >= self.most_turns or len(self.before) > self.most_chars:
-            self.held = self.held[-1:]
+        if self.looks_back is not None and len(self.held) > self.looks_back:
+            self.held = self.held[len(self.held) - self.looks_back :]
             self.before = self.template(self.held)
         shared = len(self.before)
         self.held.append((role, text))
@@ -89,8 +97,8 @@ class Renderer:
         head = len(os.path.commonprefix([one, two]))
         foot = len(os.path.commonprefix([one[:head:-1], two[:head:-1]]))
         start, end = head, len(span) - foot
-        start_at = self.position
-        self.position += len(span)
+        start_at = self.position - (len(self.before) - shared)
+        self.position = start_at + len(span)
         self.before = now
         return span, start_at, start, end, span[start:end] == text
 
@@ -100,14 +108,13 @@ TURN_COLUMNS = "position long, role string, segment string, start long, end long
 
 def format_turns(
     conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: Template = chatml, loss_roles: tuple[str, ...] = ("assistant",),
-    most_turns: int = 64, most_chars: int = 1 << 20,
 ) -> DataFrame:
     """One row per turn, in order within a partition: ``(conv, *TURN_COLUMNS)``.
 
     ``segment`` is what the turn adds to the conversation's output at ``start``; the text's offsets are in the output too,
     and ``in_loss`` says whether the loss mask covers it.
     """
-    kind = conversations.schema[conv_col].dataType.simpleString()
+    kind, looks_back = conversations.schema[conv_col].dataType.simpleString(), getattr(template, "looks_back", None)
     names = [conv_col, *(c.split()[0] for c in TURN_COLUMNS.split(", "))]
     kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, *[pa.bool_()] * 3]
     rows = conversations.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.col(role_col).alias("r"), F.col(text_col).alias("x"))
@@ -120,7 +127,7 @@ def format_turns(
                 cols: list[list] = [[] for _ in kinds]
                 for conv, role, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if renderer is None or conv != current:
-                        renderer, current, position = Renderer(template, most_turns, most_chars), conv, 0
+                        renderer, current, position = Renderer(template, looks_back), conv, 0
                     span, at, a, b, same = renderer.add(escape_role(role or ""), escape(text or ""))
                     for col, value in zip(cols, (position, role or "", span, at, at + len(span), at + a, at + b, (role or "") in loss_roles, renderer.rewrites, not same), strict=True):
                         col.append(value)
@@ -130,10 +137,17 @@ def format_turns(
     return dealt.mapInArrow(run, f"`{conv_col}` {kind}, {TURN_COLUMNS}")
 
 
+def final_spans(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """Adds ``holds``: whether no later turn of the conversation rewrote the output from before the span's end."""
+    later = Window.partitionBy(conv_col).orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, -1)
+    return turns.withColumn("holds", F.coalesce(F.min("start").over(later) >= F.col("end"), F.lit(True)))
+
+
 def digest(turns: DataFrame, conv_col: str = "conv_id", read: Callable[[str], tuple[str, str]] = parse_turn) -> DataFrame:
     """Per conversation, read back from its segments: counts and digests, and whether the template rewrote or altered anything.
 
-    It streams format_turns' rows as they lie, so it must follow without a shuffle between.
+    It streams format_turns' rows as they lie, so it must follow without a shuffle between; rows that don't follow each other
+    by position are an error.
     """
     names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites", "altered"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
@@ -156,7 +170,9 @@ def digest(turns: DataFrame, conv_col: str = "conv_id", read: Callable[[str], tu
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for conv, segment, start, a, b, in_loss, rewrites, altered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, position, segment, start, a, b, in_loss, rewrites, altered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if position != (0 if state is None or conv != current else state[0]):
+                    raise ValueError(f"turn {position} of conversation {conv} is out of order: the turns were dealt anew")
                 if state is None or conv != current:
                     close()
                     current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, False, False]
@@ -167,7 +183,7 @@ def digest(turns: DataFrame, conv_col: str = "conv_id", read: Callable[[str], tu
                     under = unescape(segment[a - start : b - start])
                     state[2] += len(under)
                     state[3].update(under.encode("utf-8", "surrogatepass"))
-                state[4] += len(segment)
+                state[4] = start + len(segment)  # the output's length so far
                 state[5] |= rewrites
                 state[6] |= altered
             yield out(id_type)
@@ -176,4 +192,4 @@ def digest(turns: DataFrame, conv_col: str = "conv_id", read: Callable[[str], tu
             yield out(id_type)
 
     columns = f"`{conv_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean, altered boolean"
-    return turns.select(conv_col, "segment", "start", "text_start", "text_end", "in_loss", "rewrites", "altered").mapInArrow(run, columns)
+    return turns.select(conv_col, "position", "segment", "start", "text_start", "text_end", "in_loss", "rewrites", "altered").mapInArrow(run, columns)
