@@ -134,7 +134,7 @@ def id3v2(data: bytes, stream: Stream) -> int:
 
 
 def vbr_table(data: bytes, at: int, header: Header, stream: Stream) -> bool:
-    """Parse a table in the frame at ``at``; whether it is one."""
+    """Parse a table in the frame at ``at``; whether it is one. A table that the frame cuts short is none (VBRI) or lacks what is cut."""
     p = at + 4 + 2 * header.protected + header.side
     if data[p : p + 4] in (b"Xing", b"Info"):
         flags, q = int.from_bytes(data[p + 4 : p + 8]), p + 8
@@ -145,11 +145,11 @@ def vbr_table(data: bytes, at: int, header: Header, stream: Stream) -> bool:
         stream.toc = data[q : q + 100] if flags & 4 else b""
         stream.table = data[p : p + 4].decode()
         return True
-    if data[at + 36 : at + 40] == b"VBRI":
-        p = at + 36
+    p, end = at + 36, at + header.size
+    if data[p : p + 4] == b"VBRI" and p + 26 <= end:  # the table's head lies in the frame
         stream.table_bytes, stream.table_frames = struct.unpack(">II", data[p + 10 : p + 18])
         entries, _, width = struct.unpack(">HHH", data[p + 18 : p + 24])
-        stream.table, stream.toc = "VBRI", data[p + 26 : p + 26 + entries * width]
+        stream.table, stream.toc = "VBRI", data[p + 26 : min(end, p + 26 + entries * width)]
         return True
     return False
 
@@ -243,8 +243,15 @@ def _to_synchsafe(n: int) -> bytes:
 
 
 def read_payload(data: bytes, stream: Stream) -> bytes:
-    """The bytes that write_stream stored."""
-    return b"".join([data[o + BODY : o + BODY + UNIT] for o in stream.offsets])
+    """The ancillary bytes behind each frame's side information, UNIT at most, as many in all as the tag says."""
+    out = []
+    word = struct.Struct(">I").unpack_from
+    for at, size in zip(stream.offsets, stream.sizes, strict=True):
+        header = parse_header(word(data, at)[0])
+        start = at + 4 + 2 * header.protected + header.side
+        out.append(data[start : min(start + UNIT, at + size)])
+    said = stream.tags.get("payload_bytes", "")
+    return b"".join(out)[: int(said) if said.isascii() and said.isdigit() else None]
 
 
 def padded(text: str | None) -> bytes:
@@ -268,7 +275,8 @@ def store_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-SEEK_STRIDE = 16
+#: Offsets are stored of each so many frames; 1: of all.
+SEEK_STRIDE = 1
 
 READ_COLUMNS = (
     "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
