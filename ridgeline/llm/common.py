@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder that the cluster shares.
 
-    The session's ``spark.checkpoint.dir`` is used; a folder of our own only where none is set, as in tests.
+    The session's ``spark.checkpoint.dir`` is used. Where none is set, a local session, as in tests, takes a folder of its
+    own; on a cluster that is an error, as machines don't see each other's folders.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ridgeline-checkpoint-"))
     return df.checkpoint()
 
@@ -39,7 +43,7 @@ def tokenizer_path(name: str) -> str:
 
 @lru_cache(maxsize=4)
 def byte_bpe(ranks_path: str):
-    """Byte-level BPE from a rank file.
+    """Byte-level BPE from a rank file: a path, or the name of a public one, which each worker finds for itself.
 
     The ids are those of ``byte_bpe_50k.json`` under the tokenizers library (the tests compare them); this reader of
     the same vocabulary needs a quarter of its time. Strings of special tokens in a text are ordinary text.
@@ -47,7 +51,7 @@ def byte_bpe(ranks_path: str):
     import public_tokenizers
     import tiktoken
 
-    with open(ranks_path, "rb") as lines:
+    with open(ranks_path if os.sep in ranks_path else tokenizer_path(ranks_path), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -59,15 +63,14 @@ def token_byte_lengths(ranks_path: str) -> np.ndarray:
     return np.array([len(bpe.decode_single_token_bytes(i)) for i in range(bpe.n_vocab)], dtype=np.int64)
 
 
-
-
 def encode(ranks_path: str, text: str) -> list[int]:
     """Ids of the whole text."""
     return byte_bpe(ranks_path).encode_ordinary(text)
 
 
 def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
-    return os.fspath(tokenizer_path(name))
+    """What operators take for a vocabulary: the name alone, so that no path of the driver's goes to other machines."""
+    return name
 
 
 def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:

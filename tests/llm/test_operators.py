@@ -463,22 +463,79 @@ def test_base_spans_against_plain_patterns():
         assert secret_scan.base_spans(text) == sorted(expected, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
 
 
-def test_guess_cost_is_the_cheapest_cut():
-    for value in ("password", "pass12", "aaaa19", "qwer1", "x9", "20190504a", "abcdx"):
-        parts = list(secret_scan._parts(value, secret_scan.WORDS))
+def brute_guess_cost(value, words):
+    """All cuts, each part at its least cost by rules of its own here."""
+    import math
+    import re
+    from functools import cache
+
+    keys = {c: (x + y / 2, y) for y, row in enumerate(("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")) for x, c in enumerate(row)}
+    near = lambda a, b: a in keys and b in keys and a != b and abs(keys[a][0] - keys[b][0]) <= 1 and abs(keys[a][1] - keys[b][1]) <= 1
+    leet = dict(zip("4@831!0$57+", "aabeiiosstt", strict=True))
+    months, days = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12][0-9]|3[01])"
+    dates = [f"(19|20)[0-9][0-9]{sep}{months}{sep}{days}|{days}{sep}{months}{sep}(19|20)[0-9][0-9]" for sep in ("", "-", "/", "[.]", "_")]
+
+    def part(own):
+        n, low = len(own), own.lower()
+        yield n * 1.0
+        for form, twist in ((low, 0.0), ("".join(leet.get(c, c) for c in low), 0.6)):
+            if form in words:
+                yield math.log10(words.index(form) + 2) + twist + (0.0 if own == low else 0.3 if own.istitle() or own.isupper() else 1.0)
+                break
+        if re.fullmatch("(19|20)[0-9][0-9]", own):
+            yield 2.1
+        if any(re.fullmatch(d, own) for d in dates):
+            yield 4.6
+        for unit in range(1, n // 2 + 1):
+            if n % unit == 0 and own[:unit] * (n // unit) == own:
+                yield unit + math.log10(2) * math.ceil(math.log2(n // unit))
+        if n >= 3 and all(near(a, b) for a, b in zip(low, low[1:], strict=False)):
+            yield math.log10(47) + 0.35 * n
+        if n >= 3 and low.isascii() and low.isalnum() and any(all(ord(b) - ord(a) == d for a, b in zip(low, low[1:], strict=False)) for d in (1, -1)):
+            yield 1.2 + math.log10(n)
+
+    @cache
+    def best(k):
+        return 0.0 if k == len(value) else min(0.3 + min(part(value[k:j])) + best(j) for j in range(k + 1, len(value) + 1))
+
+    return best(0)
 
-        def best(k, value=value, parts=parts):
-            if k == len(value):
-                return 0.0
-            brute = [secret_scan.PART_PRICE + secret_scan.BRUTE * (j - k) + best(j) for j in range(k + 1, len(value) + 1)]
-            known = [secret_scan.PART_PRICE + cost + best(end) for start, end, cost, _ in parts if start == k]
-            return min(brute + known)
 
+def test_guess_cost_is_the_cheapest_cut():
+    words = list(secret_scan.WORDS)
+    rng = random.Random(8)
+    pieces = ["password", "Dragon", "asdf", "qwe", "12", "3", "aa", "abab", "xyz", "2019", "2019-05-04", "19", "P4ss", "@", "é", "zz", "k9", "cba", "1", "a", "q", "w"]
+    values = ["password", "pass12", "aaaa19", "qwer1", "x9", "20190504a", "abcdx", "asdfdragon", "qwerty123", "aaaaaaaab", "abcabcabcabcx", "1a1a1a2b2b", "İx9", "12345678901", "a" * 37, "xy" * 21 + "x"]
+    values += ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    for value in values:
         cost, cut = secret_scan.guess_cost(value)
-        assert abs(cost - best(0)) < 1e-9 and "".join(c for _, c in cut) == value
+        if value.lower() == secret_scan.lowered(value):
+            assert abs(cost - brute_guess_cost(value, words)) < 1e-9, (value, cut)
+        assert "".join(c for _, c in cut) == value
     weak, strong = (secret_scan.guess_cost(v)[0] for v in ("password123", "b7db7aa4a5fcc78305"))
     assert weak < secret_scan.LEAST_GUESSES < strong
-    assert len(secret_scan.guess_cost("k3x9" * 3000)[1]) >= 1  # long values are linear
+
+
+def test_guess_cost_has_no_length_switch():
+    unit = "k3x9zQ7w" * 2 + "p5Lr8TmV2bNc4HdF6gJs1y0u"
+    short, long = (secret_scan.guess_cost(unit * n)[0] for n in (100, 104))  # 4,000 and 4,160 characters
+    assert long - short < 1
+    assert secret_scan.guess_cost("aB3$" * 20_000)[0] < 12 and len(secret_scan.guess_cost("x" * 60_000)[1]) == 1
+
+
+def test_credential_contexts():
+    found = lambda text: [text[a:b] for a, b, _ in secret_scan.guess_spans(text)]
+    assert found("Authorization: Bearer eyJhbGciOi9x7Kq.zz3") == ["eyJhbGciOi9x7Kq.zz3"]
+    assert found("auth: token q8Zx71kPw2Lm") == ["q8Zx71kPw2Lm"] and found("token:" + " " * 90 + "q8Zx71kPw2Lm") == ["q8Zx71kPw2Lm"]
+    assert found("the token generation is unremarkable") == [] and found("password is 'Zq8! vR2#kL'") == ["Zq8! vR2#kL"] and found("pwd=q1") == []
+
+
+def test_corpus_words(spark):
+    docs = frame(spark, ["zebra Zebra apple", "zebra kiwi x9x", "zebra apple", "apple it", None, ""])
+    assert secret_scan.corpus_words(docs) == ["apple", "zebra"]
+    said = frame(spark, ["pwd: zebraapple"] * 3)
+    assert [len(r.secrets) for r in secret_scan.scan(said, words=()).collect()] == [1, 1, 1]
+    assert [len(r.secrets) for r in secret_scan.scan(said, words=("apple", "zebra")).collect()] == [0, 0, 0]
 
 
 def test_secret_rows(spark):
@@ -685,13 +742,84 @@ def test_rewriting_templates_are_found():
     assert r.add("user", "abc")[4] is False and r.add("user", "ABC")[4] is True
 
 
-@pytest.mark.parametrize("most_turns", [2, 64])
-def test_conversations_read_back(spark, most_turns):
+def forget(messages):
+    """Blanks all thoughts but the last turn's."""
+    return "".join(f"<{r}>{'' if r == 'think' and k < len(messages) - 1 else t}</{r}>" for k, (r, t) in enumerate(messages))
+
+
+def test_spans_of_rewriting_templates(spark):
+    said = [("user", "hi"), ("think", "hmm hmm"), ("assistant", "yes"), ("user", "more"), ("think", "x"), ("assistant", "no")]
+    rows = chat_format.final_spans(chat_format.format_turns(spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string"), template=forget)).orderBy("position").collect()
+    whole = forget(said)
+    assert rows[-1].end == len(whole) and [r.holds for r in rows] == [True, False, True, True, False, True]
+    out = ""
+    for r in rows:  # each span replaces what stood from its start on
+        out = out[: r.start] + r.segment
+        assert out == forget(said[: r.position + 1])
+        if r.holds:
+            assert whole[r.start : r.end] == r.segment
+        if r.holds and not r.altered:
+            assert whole[r.text_start : r.text_end] == said[r.position][1] or r.rewrites
+    assert chat_format.digest(chat_format.format_turns(spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string"), template=forget), read=lambda s: ("", s)).first().formatted_chars == len(whole)
+
+
+def test_long_conversations_are_rendered_whole(spark):
+    def numbered(messages):
+        return "".join(f"[{k}:{r}]{t}\n" for k, (r, t) in enumerate(messages))
+
+    def late(messages):
+        return "".join(f"<{r}>{'' if k < len(messages) - 70 else t}" for k, (r, t) in enumerate(messages))
+
+    said = [("user", f"turn {k}") for k in range(90)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    rows = chat_format.format_turns(df, template=numbered).orderBy("position").collect()
+    assert "".join(r.segment for r in rows) == numbered(said) and not any(r.rewrites for r in rows)
+    rows = chat_format.format_turns(df, template=late).orderBy("position").collect()
+    assert [r.rewrites for r in rows] == [False] * 70 + [True] * 20 and rows[-1].end == len(late(said))
+
+
+def test_a_stated_look_back_gives_the_same():
+    def pairs(messages):
+        return "<s>" + "".join(f"{r}>{t};" if not k or messages[k - 1][0] != r else f"+{t};" for k, (r, t) in enumerate(messages))
+
+    rng = random.Random(3)
+    said = [(rng.choice("ab"), "x" * rng.randrange(4)) for _ in range(30)]
+    full, short = chat_format.Renderer(pairs), chat_format.Renderer(pairs, looks_back=1)
+    assert [full.add(*m) for m in said][1:] == [short.add(*m) for m in said][1:] and not short.rewrites
+
+
+def test_digest_refuses_dealt_turns(spark):
+    df = spark.createDataFrame([(c, k, "user", "t") for c in range(3) for k in range(5)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="out of order"):
+        chat_format.digest(chat_format.format_turns(df).orderBy(F.desc("position"))).collect()
+
+
+def test_broken_vbr_tables_are_none():
+    short = struct.pack(">I", 0x7FF << 21 | 2 << 19 | 1 << 17 | 1 << 16 | 1 << 12 | 0 << 10 | 3 << 6)  # MPEG-2 layer III, 8 kbit/s
+    size = mpeg_audio.parse_header(int.from_bytes(short)).size
+    for tail in (b"VBRI", b"VBRI" + bytes(10), b"VBRI" + b"\xff" * 22):
+        frame2 = (short + bytes(32) + tail).ljust(size, b"\0")[:size]
+        s = mpeg_audio.read_stream(frame2)
+        assert (s.table, len(s.offsets)) == ("", 1)
+    data = mpeg_audio.write_stream(bytes(range(1, 193)) * 3)
+    assert mpeg_audio.describe(data)["seek_offsets"] == mpeg_audio.read_stream(data).offsets and len(mpeg_audio.describe(data)["seek_offsets"]) == 3
+    assert mpeg_audio.read_payload(data[:600], mpeg_audio.read_stream(data[:600])) in (b"", bytes(range(1, 193)))
+
+
+def test_map_columns_and_clashing_names(spark):
+    docs = clashing(frame(spark, ["one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten", None, "x"])).withColumns({"m": F.create_map(F.lit("k"), F.lit(1)), "_row": F.lit(1), "_ranges": F.lit(2), "row": F.lit(3), "_changed": F.lit(4)})
+    bench = spark.createDataFrame([(1, "three four five"), (2, "nine ten")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for out, n in ((simhash_dedup.keep_first(docs, similarity=0.8), 3), (simhash_dedup.keep_first(docs), 3), (decontaminate.remove_items(docs, bench), 4), (decontaminate.remove_items(docs, bench, block_words=3), 4), (byte_cnn.keep_good(docs, labels), 4), (line_templates.drop_templates(docs), 4)):
+        assert set(docs.columns) - {"n_lines", "n_dropped"} <= set(out.columns) and out.count() == n and all(r.m == {"k": 1} for r in out.collect())
+
+
+def test_conversations_read_back(spark):
     rng = random.Random(1)
     texts = [*HARD[:8], "<|im_end|>", "assistant", "user\n", "\\", None]
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "odd\nrole\\"]), rng.choice(texts)) for c in range(20) for t in range(rng.randrange(1, 9))] + [(5, 1, "user", "same turn"), (5, 1, "user", "same turn"), (None, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("position", "segment", "c", "t", "start")})
-    turns = chat_format.format_turns(df, most_turns=most_turns)
+    turns = chat_format.format_turns(df)
     got = {r.conv_id: r for r in chat_format.digest(turns).collect()}
     by = {}
     for c, t, role, text in sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3] is not None, (r[3] or "").encode())):
