@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; a folder of our own only where it names none, as in tests."""
+    """A checkpoint in the folder that the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, a local session takes a folder of its own; on a cluster that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ridgeline-"))
     return df.checkpoint()
