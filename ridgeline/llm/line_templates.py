@@ -13,8 +13,9 @@ id, which keeps it. Recurring units that follow each other make a run. Units too
 ``least_tokens``) recur with their neighbours: if the unit and the one before it, or the one after it, stand together in other
 documents. What doesn't recur of them joins a run only up to ``MOST_GAP`` words and ``GAP_BYTES`` bytes between two recurring
 units, so that short lines of a document's own stay. A run is dropped if it has ``least_run`` words or more, or if it fills
-whole lines: short sentences that meet by chance in otherwise different lines stay. Counting pre-aggregates, so a line that a
-third of all documents have doesn't meet in one task.
+whole lines: short sentences that meet by chance in otherwise different lines stay. Counting pre-aggregates, and templates
+with many occurrences are salted where occurrences meet their counts, so a line that a third of all documents have doesn't
+meet in one task.
 
 Defined results: null and empty texts have no units and stay as they are; a text without a dropped run stays to the byte;
 rows with the same id are one document; a null id comes first. A document all of whose units are dropped has the empty
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ridgeline.llm.common import fresh, slices
+from ridgeline.llm.common import cut_lineage, fresh, slices
 
 LEADING, LEAST_TOKENS, STRETCH_FROM, LEAST_DOCS, LEAST_RUN = 2, 4, 12, 2, 20
 #: Most words and bytes of short units that needn't recur between two recurring ones.
@@ -148,15 +149,31 @@ def unit_keys(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADIN
 
 
 def recurring(keys: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """``(key, owner)`` of the templates in ``least_docs`` documents or more; owner: the smallest id."""
+    """``(key, owner, rows)`` of the templates in ``least_docs`` documents or more; owner: the smallest id, rows: occurrences."""
     nulls = F.max(F.col("id").isNull()).alias("has_null")
     if least_docs == 2:
-        counted = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), nulls)
+        counted = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("rows"), nulls)
         many = (F.col("least") != F.col("most")) | (F.col("has_null") & F.col("least").isNotNull())
     else:
-        counted = keys.groupBy("key", "id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), nulls)
+        counted = keys.groupBy("key", "id").agg(F.count("*").alias("r")).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.sum("r").alias("rows"), nulls)
         many = F.col("n") >= least_docs
-    return counted.where(many).select("key", F.when(~F.col("has_null"), F.col("least")).alias("owner"))
+    return counted.where(many).select("key", F.when(~F.col("has_null"), F.col("least")).alias("owner"), "rows")
+
+
+#: A template with more occurrences than HEAVY, and than one in MOST_HEAVY of all, is dealt to SALTS tasks; so there are fewer
+#: than MOST_HEAVY such templates (8 bytes each), which are sent to every task.
+HEAVY, MOST_HEAVY, SALTS = 10_000, 20_000, 64
+
+
+def met_keys(keys: DataFrame, found: DataFrame, heavy: int = HEAVY, salts: int = SALTS) -> DataFrame:
+    """``(id, unit)`` of the keys that are found, in all documents but the owner; a key of any size meets in many tasks."""
+    found = cut_lineage(found)
+    total = found.agg(F.sum("rows")).first()[0] or 0
+    large = F.col("rows") > max(heavy, total // MOST_HEAVY)
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(large, salts - 1).otherwise(0)))).drop("rows")
+    dealt = keys.join(F.broadcast(found.where(large).select("key", F.lit(True).alias("large"))), "key", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("id", "unit"), F.lit(salts)).cast("int")).otherwise(0)).drop("large")
+    return dealt.join(salted, ["key", "salt"]).where(~F.col("id").eqNullSafe(F.col("owner"))).select("id", "unit")
 
 
 def _whole_lines(parts: list[bytes], start: int, end: int) -> bool:
@@ -226,7 +243,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = unit_keys(docs, id_col, text_col, least_tokens=least_tokens, **rules)
     found = recurring(keys, least_docs)
     own, drop = fresh(docs.columns, "_id"), fresh(docs.columns, "_drop")
-    dropped = keys.join(found, "key").where(~F.col("id").eqNullSafe(F.col("owner"))).groupBy(F.col("id").alias(own)).agg(F.collect_set("unit").alias(drop))
+    dropped = met_keys(keys, found).groupBy(F.col("id").alias(own)).agg(F.collect_set("unit").alias(drop))
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     met = docs.select(*keep).join(dropped, docs[id_col].eqNullSafe(dropped[own]), "left").select(*keep, drop)
     place, counted = keep.index(text_col), keep.index(length_col) if length_col else None
