@@ -5,8 +5,9 @@ matching length is tracked; a length of ``window`` or more means that the last `
 shorter than a window count whole. Runs of words whose neighbouring pairs never occur in an item can't match two words, so
 they are passed over by one vectorised look-up; what remains goes through the automaton word by word.
 
-The automaton is shipped to the tasks. It is bounded: items are taken in blocks of at most ``BLOCK_WORDS`` words, one pass
-over the documents for each block, and the passes' spans are merged; one block is the common case.
+The items' texts go to the tasks, and each worker process builds the automaton once. It is bounded: items are taken in
+blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for each block; a pass is kept in the checkpoint folder before
+the next block is read, so the driver holds one block's texts. The passes' spans are merged; one block is the common case.
 
 Defined results: null or empty texts have no words and no hits; an item without words never occurs; items with equal texts
 all count; an empty item table gives zero hits. Rows are independent: repeated rows give repeated results. Only the named
@@ -15,6 +16,7 @@ columns are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -28,7 +30,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ridgeline.llm.common import cut_lineage, fresh, slices
 
 WINDOW = 8
-#: Words of one automaton; about 200 bytes each.
+#: Words of one automaton; about 750 bytes each in a worker, some 6 on the driver.
 BLOCK_WORDS = 200_000
 
 #: Bytes: A-Z become a-z; what is no letter, digit or part of a character over 127 becomes a blank.
@@ -190,11 +192,23 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_
         yield block
 
 
+_built: dict[tuple, Automaton] = {}
+
+
+def built(block: list[tuple[object, str | None]], window: int) -> Automaton:
+    """The block's automaton; a process keeps the last one."""
+    key = (window, *block)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Automaton(block, window)
+    return _built[key]
+
+
 def _match_block(docs: DataFrame, block: list, row_cols: list[str], text_col: str, window: int) -> DataFrame:
-    automaton = Automaton(block, window)
     names = ["n_words", "hit_words", "item_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = built(block, window)
         for batch in batches:
             for part in slices(batch):
                 n, hits, found = [], [], []
@@ -221,10 +235,9 @@ def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         return _match_block(docs, first, [id_col], text_col, window)
     # More than one block: rows get a number of their own, so that repeated ids stay apart, and the passes' spans are merged.
     numbered = cut_lineage(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
-    passes = [_match_block(numbered, b, ["_row", "_id"], "_text", window) for b in (first, second, *blocks)]
-    every = passes[0]
-    for one in passes[1:]:
-        every = every.unionByName(one.where(F.size("hit_words") > 0))
+    every = cut_lineage(_match_block(numbered, first, ["_row", "_id"], "_text", window))
+    for block in itertools.chain((second,), blocks):
+        every = every.unionByName(cut_lineage(_match_block(numbered, block, ["_row", "_id"], "_text", window).where(F.size("hit_words") > 0)))
     merged = every.groupBy("_row").agg(
         F.first("_id").alias(id_col), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hit_words"))).alias("ranges"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids")
     )
@@ -294,13 +307,13 @@ def remove_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     if first is None:
         return docs
     if second is None:
-        return _remove_block(docs, Automaton(first, window), text_col, coverage, length_col)
+        return _remove_block(docs, first, window, text_col, coverage, length_col)
     row, ranges, changed = fresh(docs.columns, "_row"), fresh(docs.columns, "_ranges"), fresh(docs.columns, "_changed")
     left = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
     done: list[DataFrame] = []
     while True:
         texts = left.select(F.col(row).alias("_row"), F.col(text_col).alias("_text"))
-        passes = [_match_block(texts, b, ["_row"], "_text", window).where(F.size("hit_words") > 0) for b in item_blocks(items, item_id_col, item_text_col, block_words)]
+        passes = [cut_lineage(_match_block(texts, b, ["_row"], "_text", window).where(F.size("hit_words") > 0)) for b in item_blocks(items, item_id_col, item_text_col, block_words)]
         hits = reduce(DataFrame.unionByName, passes).groupBy(F.col("_row").alias(row)).agg(F.array_sort(F.flatten(F.collect_list("hit_words"))).alias(ranges))
         met = left.join(hits.select(row, _union(ranges).alias(ranges)), row, "left").select(*docs.columns, row, ranges)
         out = cut_lineage(_remove_ranges(met, docs, changed, text_col, coverage if not done else 1.0, length_col))
@@ -339,11 +352,12 @@ def _remove_ranges(met: DataFrame, docs: DataFrame, changed: str, text_col: str,
     return met.mapInArrow(run, schema)
 
 
-def _remove_block(docs: DataFrame, automaton: Automaton, text_col: str, coverage: float, length_col: str | None) -> DataFrame:
+def _remove_block(docs: DataFrame, block: list, window: int, text_col: str, coverage: float, length_col: str | None) -> DataFrame:
     place = docs.columns.index(text_col)
     counted = docs.columns.index(length_col) if length_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = built(block, window)
         for batch in batches:
             for part in slices(batch):
                 old = part.column(place).to_pylist()

@@ -153,6 +153,25 @@ def test_line_templates_against_brute_force(spark):
                 assert got[d].n_dropped == n_gone and [u.decode() for u in line_templates.units(got[d].text)[::2] if u.strip()] == kept
 
 
+def test_heavy_templates_are_dealt_to_many_tasks(spark):
+    n = 3000
+    keys = spark.range(n).select(F.col("id"), (F.col("id") * 7).alias("unit"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 50 + 100).cast("long").alias("key"))
+    found = line_templates.recurring(keys)
+    plain = {(r.id, r.unit) for r in line_templates.met_keys(keys, found, heavy=10**9).collect()}
+    salted = line_templates.met_keys(keys, found, heavy=100)
+    assert {(r.id, r.unit) for r in salted.collect()} == plain and len(plain) == n - 51
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in line_templates.met_keys(keys, found, heavy=100).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(sizes) < n / 10 and len(sizes) > 30
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_line_templates_generalise():
     t = line_templates.templates
     a, b = b"Order 17 was sent by Ann to the house at noon in a box of wood", b"Order 934 was sent by Bob to the house at noon in a box of wood"
