@@ -7,11 +7,12 @@ together, and each partition i gets a threshold t_i with sum(t_i + 1) = radius +
 by at most t_i bits in some partition i (with t_i = -1 a partition isn't probed at all). Which partitions and thresholds to
 use is decided by dynamic programming on the estimated number of candidates and of index rows; the estimate comes from the
 bits' joint counts over all distinct fingerprints (a 64 x 64 table). A row is dealt by (partition, key); for t = 1 each
-fingerprint has, besides its own key, one key for each bit with that bit left out.
+fingerprint has one key for each bit, with that bit left out.
 
 Within a key the candidates are verified on all 64 bits. Pairs aren't written out: large groups are searched breadth first
 and give one link for each member reached, and the links of a task are reduced to a forest. Keys with over ``BLOCK`` members are
-dealt in pairs of blocks to many tasks, so no task holds an unbounded group. Components of the links come from label
+dealt in pairs of blocks to many tasks, so no task holds an unbounded group; with over ``radius + 1`` times as many their members are first
+dealt once more by the bits outside the partition, as copies that agree there too are few. Components of the links come from label
 propagation over all links with alternating star operations, checkpointed each round; nothing of it goes to the driver
 but counts.
 
@@ -178,7 +179,7 @@ def plan(n: int, both: np.ndarray, radius: int = RADIUS) -> list[Part]:
         for bits in groups:
             new: dict[int, tuple[float, list[Part]]] = {}
             for threshold in (-1, 0, 1):
-                keys = 0 if threshold < 0 else 1 + len(bits) * threshold
+                keys = 0 if threshold < 0 else len(bits) if threshold else 1
                 pairs = n * n / 2 * near_chance(bits, threshold, single, double) if threshold >= 0 else 0.0
                 cost = ROW_COST * keys * n + PAIR_COST * pairs * (1 + threshold)
                 for given, (so_far, parts) in least.items():
@@ -321,11 +322,37 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     return whole.repartition("part", "key", "pair")
 
 
+#: Up to so many large keys are broadcast (16 bytes each), more go by a shuffle.
+MOST_LARGE = 100_000
+
+
+def _divided(rows: DataFrame, parts: list[Part], radius: int, block: int) -> DataFrame:
+    """Rows ``(part, key, fp, node)``, those of large keys dealt once more, by the bits outside their part.
+
+    These are cut into radius + 1 groups, in one of which two linked fingerprints agree; so members of a key of any size are
+    written radius + 1 times, and only those that agree there too meet. (The new key is a hash; what it throws together by chance is told
+    apart by verifying.)
+    """
+    large = cut_lineage(rows.groupBy("part", "key").agg(F.count("*").alias("members")).where(F.col("members") > (radius + 1) * block).select("part", "key"))
+    n = large.count()
+    if not n:
+        return rows
+    met = rows.join((F.broadcast if n <= MOST_LARGE else lambda df: df)(large.withColumn("large", F.lit(True))), ["part", "key"], "left")
+    keys = F.lit(None)
+    for k, part in enumerate(parts):
+        rest = [b for b in range(64) if b not in part.bits]
+        masks = [sum(1 << b for b in rest[g :: radius + 1]) for g in range(radius + 1)]
+        again = F.array(*[F.struct(F.lit(10_000 + g).alias("part"), F.xxhash64("part", "key", F.lit(g), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for g, m in enumerate(masks)])
+        keys = F.when(F.floor(F.col("part") / 100) == k, again).otherwise(keys)
+    alone = F.array(F.struct("part", "key"))
+    return met.select("fp", "node", F.explode(F.when(F.col("large"), keys).otherwise(alone)).alias("k")).select("k.part", "k.key", "fp", "node")
+
+
 def near_links(nodes: DataFrame, parts: list[Part], radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links ``(a, b)``, a > b, whose components are those of all pairs within ``radius``; nodes has distinct ``(fp, node)``."""
     keys = F.concat(*[_keys(p, 100 * k, F.col("fp")) for k, p in enumerate(parts)])
     rows = nodes.select("fp", "node", F.explode(keys).alias("k")).select("k.part", "k.key", "fp", "node")
-    dealt = _dealt(rows, block).sortWithinPartitions("part", "key", "pair")
+    dealt = _dealt(_divided(rows, parts, radius, block), block).sortWithinPartitions("part", "key", "pair")
     return dealt.select("part", "key", "pair", "fp", "node", "left").mapInArrow(_links(radius), "a long, b long")
 
 
