@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,25 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(k, step)
 
 
+def most_counted(counted: DataFrame, most: int) -> list:
+    """Of rows ``(value, n)``, one per value: the values with the largest n, at most ``most``, by falling n and then by value.
+
+    A histogram of n (by eighths of a doubling, so a few hundred rows) says how far down to go; a bucket that would
+    exceed ``most`` is left out. So the driver gets no more than it keeps, on any number of partitions.
+    """
+    counted = cut_lineage(counted.select("value", "n", F.floor(F.log2("n") * 8).cast("int").alias("bucket")))
+    sizes = sorted(((r["bucket"], r["count"]) for r in counted.groupBy("bucket").count().collect()), reverse=True)
+    least, room = None, most
+    for bucket, size in sizes:
+        if size > room:
+            break
+        least, room = bucket, room - size
+    if least is None:
+        return []
+    rows = counted.where(F.col("bucket") >= least).select("value", "n").collect()
+    return [r["value"] for r in sorted(rows, key=lambda r: (-r["n"], r["value"]))]
+
+
 def fresh(columns: list[str], name: str) -> str:
     """The name, with underscores put before it until no column has it."""
     taken = {c.lower() for c in columns}

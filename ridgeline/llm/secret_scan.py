@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import slices
+from ridgeline.llm.common import most_counted, slices
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -216,9 +216,8 @@ MOST_WORDS, LEAST_HOLDERS = 20_000, 3
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> list[str]:
     """The words of 3 to LONGEST_WORD letters a-z that most documents hold, by that number and then by name."""
     low = F.split(F.regexp_replace(F.lower(F.col(text_col)), "[^a-z]+", " "), " ")
-    held = docs.select(F.explode_outer(F.array_distinct(low)).alias("word")).where(F.length("word").between(3, LONGEST_WORD))
-    counted = held.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HOLDERS)
-    return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    held = docs.select(F.explode_outer(F.array_distinct(low)).alias("value")).where(F.length("value").between(3, LONGEST_WORD))
+    return most_counted(held.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HOLDERS), most)
 
 
 LEAST_GUESSES = 8.0
