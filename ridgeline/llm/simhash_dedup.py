@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import cut_lineage, fresh, slices
+from ridgeline.llm.common import cut_lineage, fresh, most_counted, slices
 
 SHINGLE = 3
 SEED = 42
@@ -396,9 +396,8 @@ def common_hashes(texts: DataFrame) -> np.ndarray:
     n = texts.count()
     one_in = max(1, n // (4000 + n // 50))
     sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select("text").distinct()
-    counted = sample.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
-    top = counted.orderBy(F.desc("n"), "hash").limit(MOST_COMMON).select("hash").collect()
-    return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
+    counted = sample.mapInArrow(run, "hash long").groupBy(F.col("hash").alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
+    return np.sort(np.array(most_counted(counted, MOST_COMMON), dtype=np.int64).view(np.uint64))
 
 
 def prefix_of(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
