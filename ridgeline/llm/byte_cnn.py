@@ -172,14 +172,16 @@ def gradient(model: Model, raw: list[bytes], y: np.ndarray, weigh: np.ndarray) -
     return slopes
 
 
-MOST_ROWS = 2500
+#: The sample's rows, and the bytes of a text that is learned from; longer labelled texts aren't learned from, but are scored whole.
+MOST_ROWS, MOST_BYTES = 2500, 200_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: F.Column, most_rows: int = MOST_ROWS) -> tuple[list[str | None], list[int]]:
-    """At most ``most_rows`` labelled texts for which ``learn`` holds, those with the smallest hash of their id."""
+    """At most ``most_rows`` labelled texts for which ``learn`` holds, those with the smallest hash of their id, of ``MOST_BYTES`` at most."""
     order = F.xxhash64(F.col(id_col).cast("string"))
     picked = labels.select(id_col, F.col(label_col).cast("int").alias("_label")).where(learn & F.col("_label").isNotNull()).distinct().orderBy(order, "_label").limit(most_rows)
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).orderBy(order, text_col).limit(most_rows).collect()  # both sides bounded
+    short = docs.select(id_col, text_col).where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= MOST_BYTES)
+    rows = short.join(F.broadcast(picked), id_col).orderBy(order, text_col).limit(most_rows).collect()  # both sides bounded
     return [r[text_col] for r in rows], [r["_label"] for r in rows]
 
 

@@ -549,6 +549,16 @@ def test_credential_contexts():
     assert found("the token generation is unremarkable") == [] and found("password is 'Zq8! vR2#kL'") == ["Zq8! vR2#kL"] and found("pwd=q1") == []
 
 
+def test_most_counted(spark):
+    from ridgeline.llm.common import most_counted
+
+    rows = [(f"w{k}", n) for k, n in enumerate([100, 3, 3, 3, 50, 51, 7, 7, 1])]
+    df = spark.createDataFrame(rows, "value string, n long")
+    assert most_counted(df, 100) == [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert most_counted(df, 5) == ["w0", "w5", "w4", "w6", "w7"] == most_counted(df, 7) and most_counted(df, 2) == ["w0"] and most_counted(df, 0) == []
+    assert most_counted(df.where("false"), 5) == []
+
+
 def test_corpus_words(spark):
     docs = frame(spark, ["zebra Zebra apple", "zebra kiwi x9x", "zebra apple", "apple it", None, ""])
     assert secret_scan.corpus_words(docs) == ["apple", "zebra"]
