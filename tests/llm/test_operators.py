@@ -113,28 +113,61 @@ def brute_lines(texts, least_docs=2, least_run=20):
         half = 2 + (len(w) - 2) // 2
         return {(len(w), 1, tuple(w[:half])), (len(w), 2, tuple(w[:2] + w[half:]))}
 
-    owners = {}
+    blank = " \t\n\r\x0b\x0c"
+    count = lambda unit: len(re.findall(r"[^\x20\x09-\x0D]+", unit))
+
+    def pairs(text):
+        """Neighbours of which one is short, in series of short units that are over 8 words or 64 bytes long."""
+        filled = [u for u in cut(text)[::2] if count(u)]
+        out, k = set(), 0
+        while k < len(filled):
+            end = k
+            while end < len(filled) and count(filled[end]) < 4:
+                end += 1
+            if sum(map(count, filled[k:end])) > 8 or sum(len(u.encode()) for u in filled[k:end]) > 64:
+                near = [u.strip(blank) for u in filled[max(k - 1, 0) : end + 1]]
+                out |= set(zip(near, near[1:], strict=False))
+            k = end + 1
+        return out
+
+    owners, beside = {}, {}
     for d, text in texts:
         for unit in cut(text)[::2]:
             for t in shape(unit):
                 owners.setdefault(t, set()).add(d)
+        for pair in pairs(text):
+            beside.setdefault(pair, set()).add(d)
     out = []
     for d, text in texts:
         parts = [*cut(text), ""]
         n = len(parts) // 2
-        words = [len(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in parts[::2]]
-        bad = [any(len(owners[t]) >= least_docs and min(owners[t]) != d for t in shape(p)) for p in parts[::2]]
+        units = parts[::2]
+        words = list(map(count, units))
+        bad = [any(len(owners[t]) >= least_docs and min(owners[t]) != d for t in shape(p)) for p in units]
+        recurs = lambda a, b: d in (who := beside.get((units[a].strip(blank), units[b].strip(blank)), ())) and len(who) >= least_docs and min(who) != d  # noqa: B023, E731
+        filled = [k for k in range(n) if words[k]]
+        place = {k: i for i, k in enumerate(filled)}
+
+        def own(k):
+            """A short unit that doesn't recur with a neighbour."""
+            i = place.get(k)  # noqa: B023
+            return i is not None and not any(0 <= j and j + 1 < len(filled) and recurs(filled[j], filled[j + 1]) for j in (i - 1, i))  # noqa: B023
+
+        at = [k for k in range(n) if bad[k]]
         gone = [False] * n
-        for a in range(n):
-            for b in range(a + 1, n + 1):
-                inside = bad[a] and bad[b - 1] and all(bad[k] or words[k] < 4 for k in range(a, b))
-                before = any(bad[k] and all(bad[j] or words[j] < 4 for j in range(k, a)) for k in range(a))
-                after = any(bad[k] and all(bad[j] or words[j] < 4 for j in range(b, k)) for k in range(b, n))
-                if inside and not before and not after:
-                    lines = not "".join(parts[: 2 * a]).rpartition("\n")[2].strip() and not "".join(parts[2 * b - 1 :]).partition("\n")[0].strip()
-                    if sum(words[a:b]) >= least_run or lines:
-                        gone[a:b] = [True] * (b - a)
-        out.append((d, [p for p, g in zip(parts[::2], gone, strict=True) if p.strip() and not g], sum(gone)))
+        while at:
+            run = [at.pop(0)]
+            while at:
+                gap = range(run[-1] + 1, at[0])
+                mine = [units[k].strip(blank) for k in gap if own(k)]
+                if any(words[k] >= 4 for k in gap) or sum(map(count, mine)) > 8 or sum(len(u.encode()) for u in mine) > 64:
+                    break
+                run.append(at.pop(0))
+            a, b = run[0], run[-1] + 1
+            lines = not "".join(parts[: 2 * a]).rpartition("\n")[2].strip(blank) and not "".join(parts[2 * b - 1 :]).partition("\n")[0].strip(blank)
+            if sum(words[a:b]) >= least_run or lines:
+                gone[a:b] = [True] * (b - a)
+        out.append((d, [p for p, g in zip(units, gone, strict=True) if p.strip() and not g], sum(gone)))
     return out
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest tables, each against what it has to guarantee; and the registered queries."""
 
+import hashlib
 import random
 import zlib
 
@@ -10,7 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from ridgeline.llm import decontaminate, line_templates, simhash_dedup
 from ridgeline.llm.common import encode, ranks_path
-from tests.llm.test_operators import brute_lines
+from tests.llm.test_operators import brute_components, brute_fingerprint, brute_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,3 +123,57 @@ def test_every_operator_has_its_query(spark):
     assert "pipeline" in queries and sorted(int(n[2:].split("_")[0]) for n in queries if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
     for name in ("op3_benchmark_decontamination", "op7_secret_scans", "op9_chat_formatting"):
         assert queries[name](spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_registered_media_query(spark, texts):
+    got = {r.doc_id: r for r in __spark_entry__.queries()["op1_mpeg_audio"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        raw = text.encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        r = got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r.n_frames == len(payload) // 192 == len(r.seek_offsets) and r.duration_num * 48000 == r.duration_den * 1152 * r.n_frames
+
+
+def test_registered_near_duplicate_query(spark, texts):
+    ids = sorted(texts)
+    fps = [brute_fingerprint(texts[d]) for d in ids]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in __spark_entry__.queries()["op8_simhash_near_dedup"](spark, SF).collect()}
+    assert got == {d: (f"{fp:016x}", c) for d, fp, c in zip(ids, fps, brute_components(fps, ids), strict=True)}
+
+
+def test_registered_line_query(spark, texts):
+    got = {r.doc_id: r for r in __spark_entry__.queries()["op2_line_dedup"](spark, SF).collect()}
+    for d, kept, n in brute_lines(list(texts.items())):
+        assert got[d].n_dropped == n
+        assert got[d].text == texts[d] if not n else [u.decode() for u in line_templates.units(got[d].text)[::2] if u.strip()] == kept
+
+
+def test_registered_packing_query(spark, texts):
+    pieces = __spark_entry__.queries()["op5_packing"](spark, SF).collect()
+    sizes = {d: len(encode(ranks_path(), text)) + 1 for d, text in texts.items()}
+    sequences, covered = {}, {}
+    for p in pieces:
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        covered.setdefault(p.doc_id, []).append((p.start, p.length))
+        assert p.doc_tokens == sizes[p.doc_id]
+    for rows, whole in ((sequences, None), (covered, sizes)):
+        for key, spans in rows.items():
+            at = 0
+            for start, length in sorted(spans):
+                assert start == at and length > 0
+                at += length
+            assert at <= 2048 if whole is None else at == whole[key]
+    assert set(covered) == set(texts) and len(sequences) * 2048 <= 1.02 * sum(sizes.values()) + 2048
+
+
+def test_registered_classifier_query(spark, texts):
+    rows = __spark_entry__.queries()["op6_quality_classifier"](spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
