@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,18 @@ def closest_lexicalisation(lexes: DataFrame, keys: list[str], similarity: str =
     return first_per_key(lexes, keys, [F.col(similarity).desc(), F.col(index)])
 
 
+def closest_by_encoder(lexes: DataFrame, keys: list[str], triples: str, lex: str, encode: Callable[[DataFrame, str, str], DataFrame], index: str = "lex_idx") -> DataFrame:
+    """The lexicalisation whose vector is nearest to that of the entry's triples, with its ``similarity``, rounded to 5 places.
+
+    ``encode`` adds a vector of a text column under a name; a vector of zeros is like nothing (0).
+    """
+    both = encode(encode(lexes, triples, "_t"), lex, "_x")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+    size = F.sqrt(dot("_t", "_t") * dot("_x", "_x"))
+    scored = both.withColumn("similarity", F.round(F.when(size > 0, dot("_t", "_x") / size).otherwise(0.0), 5)).drop("_t", "_x")
+    return closest_lexicalisation(scored, keys, "similarity", index)
+
+
 def wide_docs(triples: DataFrame, texts: DataFrame, langs: tuple[str, ...] = LANGS, triples_variant: str = "normalized", text_variant: str = "normalized", parallel: bool = True, min_triples: int = 1) -> DataFrame:
     """One row per base id with each representation in each language.
 

@@ -23,7 +23,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", schema: str | T.StructType | None = None) -> DataFrame:
-    """Columns are strings unless a schema says otherwise; cells may hold line breaks and doubled quotes."""
+    """Columns are strings unless a schema says otherwise; cells may hold line breaks and doubled quotes; empty ones are null."""
     reader = spark.read.options(header=True, sep=sep, multiLine=True, escape='"', quote='"')
     return (reader.schema(schema) if schema else reader).csv(path)
 

@@ -21,7 +21,7 @@ def _items(block: Column, item: str, loose: Column | None = None) -> Column:
 
 
 def _present(items: Column) -> Column:
-    return F.filter(F.transform(items, F.trim), lambda x: x != "")
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")  # bare F.trim would take the place as what to trim
 
 
 def _lex(*langs: str, unmarked: bool = False) -> Column:
