@@ -307,9 +307,22 @@ def mixed_triples_seeded(spark, d):
     return mixed.select("base_id", n.alias("n"), low.alias("low"), high.alias("high"), ((english >= low) & (english <= high) & (F.size("mixed_triples") == n)).alias("fits"))
 
 
-@query("SELECT unnest(['tripleset_only', 'text_only', 'not_in_every_language', 'size_distribution', 'text_mix_differs']) AS fault, unnest([0, 0, 0, 0, 0])::bigint AS n")
+_FAULTY = """, tr AS (SELECT base_id, lang, size FROM sides WHERE NOT (size = 4 AND lang = 'mix') AND NOT (size = 2 AND lang = 'es')),
+te AS (SELECT base_id, lang, size, CASE WHEN lang = 'mix' AND size = 5 THEN concat(text_raw, '!') ELSE text_raw END AS t FROM sides WHERE NOT (size = 3 AND lang = 'es') AND NOT (size = 2 AND lang = 'es'))
+SELECT 'tripleset_only' AS fault, count(*) AS n FROM (SELECT base_id, lang FROM tr EXCEPT SELECT base_id, lang FROM te)
+UNION ALL SELECT 'text_only', count(*) FROM (SELECT base_id, lang FROM te EXCEPT SELECT base_id, lang FROM tr)
+UNION ALL SELECT 'not_in_every_language', count(*) FROM (SELECT base_id FROM (SELECT base_id, lang FROM te UNION SELECT base_id, lang FROM tr) GROUP BY base_id HAVING count(*) < 3)
+UNION ALL SELECT 'size_distribution', count(*) FROM (SELECT lang, size, count(*) AS a FROM tr GROUP BY ALL) FULL JOIN (SELECT lang, size, count(*) AS b FROM te GROUP BY ALL) USING (lang, size) WHERE a IS DISTINCT FROM b
+UNION ALL SELECT 'text_mix_differs', count(*) FROM te x JOIN te y USING (base_id) WHERE x.lang = 'en' AND y.lang = 'mix' AND x.t <> y.t"""
+
+
+@query(_FAULTY, fixed=True)
 def inventory_check(spark, d):
-    return collection.inventory_faults(*_tripleset_docs(spark, d))
+    """Documents with planted faults: rows that one side or both lack, and mixed texts that aren't the English ones."""
+    triples, texts = _tripleset_docs(spark, d)
+    lacks = lambda size, lang: ~((F.col("size") == size) & (F.col("lang") == lang))
+    changed = F.when((F.col("lang") == "mix") & (F.col("size") == 5), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return collection.inventory_faults(triples.where(lacks(4, "mix") & lacks(2, "es")), texts.where(lacks(3, "es") & lacks(2, "es")).withColumn("text", changed))
 
 
 @query("SELECT lang, size, count(*) AS n FROM sides GROUP BY lang, size", fixed=True)
@@ -323,10 +336,12 @@ def doc_size_outer_merge(spark, d):
     return collection.size_comparison(e, collection.eligible(e)[0])
 
 
-@query("SELECT doc_id, cast(count(*) AS bigint) AS n FROM (SELECT 'x' AS doc_id FROM region WHERE false) GROUP BY doc_id")
+@query("SELECT concat('tripleset__', base_id, '__', lang) AS doc_id, 2::bigint AS n FROM sides WHERE size = 3", fixed=True)
 def duplicate_id_guard(spark, d):
+    """The documents of size 3 come twice."""
     docs, texts = _tripleset_docs(spark, d)
-    return collection.repeated_ids(docs.select("doc_id").unionByName(texts.select("doc_id")))
+    ids = docs.select("doc_id").unionByName(texts.select("doc_id"))
+    return collection.repeated_ids(ids.unionByName(docs.where("size = 3").select("doc_id")))
 
 
 _BEST = "SELECT k, v AS lex_idx, s AS similarity FROM (SELECT l_orderkey AS k, l_linenumber AS v, round(l_discount, 6) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_discount, 6) DESC, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1"
@@ -1040,5 +1055,5 @@ def generate_with_retries(spark, d):
             }
         )
 
-    done = qa_ops.generate_with_retries(items, ["o_orderkey"], attempt, ("q0", "a0"), most=3, keep=lambda df: df)
+    done = qa_ops.generate_with_retries(items, ["o_orderkey"], attempt, ("q0", "a0"), most=3, keep=keep)
     return done.select("o_orderkey", "validation_status", "attempts", "question_out")
