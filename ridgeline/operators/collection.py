@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.stable import mixed_pattern, stable_index
-from ridgeline.functions.text import TRIPLE_SEP, concat_field, entry_id, normalize_ws, text_field, text_id, triples_field, tripleset_id
+from ridgeline.functions.text import TRIPLE_SEP, concat_field, entry_id, normalize_ws, split_triples, text_field, text_id, triples_field, tripleset_id
 from ridgeline.operators.topk import first_per_key
 
 KEY = ["split", "category", "eid", "size"]
@@ -141,6 +141,30 @@ def inventory_faults(triples: DataFrame, texts: DataFrame, langs: tuple[str, ...
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fault"), "n") for name, df in counts])
 
 
+def mapping_report(triples: DataFrame, texts: DataFrame, questions: DataFrame) -> DataFrame:
+    """``(counter, value, n)``: documents by language and size, mixed patterns, repeated ids, and triples of questions that documents cover.
+
+    Counters of documents are rows of one pass over each side, so they are summed before the shuffle.
+    """
+
+    def counted(df: DataFrame, **values: Column) -> DataFrame:
+        named = F.explode(F.array(*[F.struct(F.lit(name).alias("counter"), v.cast("string").alias("value")) for name, v in values.items()])).alias("x")
+        return df.select(named).select("x.*").where("value is not null").groupBy("counter", "value").agg(F.count("*").alias("n"))
+
+    sized = F.concat_ws(",", "lang", "size")
+    mixed = F.when(F.col("lang") == "mix", F.concat_ws(",", "size", "mixed_n_en", "mixed_n_es"))
+    documents = counted(triples, tripleset_lang=F.col("lang"), tripleset_size=sized, mixed_pattern=F.col("mixed_lang_pattern"), mixed_counts=mixed)
+    written = counted(texts, text_lang=F.col("lang"), text_size=sized, text_source_lang=F.col("text_source_lang"))
+    repeats = [repeated_ids(df).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("repeated_ids").alias("counter"), F.lit(name).alias("value"), "n") for name, df in (("triplesets", triples), ("texts", texts))]
+    asked = questions.select(normalize_ws(F.col("mtriple")).alias("t")).where("t <> ''").distinct()
+    held = lambda df, flag: df.select(F.explode(split_triples(F.col("supporting_mtriples"))).alias("t")).distinct().withColumn(flag, F.lit(True))
+    met = asked.join(held(triples, "a"), "t", "left").join(held(texts, "b"), "t", "left").select(F.col("a").isNotNull().alias("a"), F.col("b").isNotNull().alias("b"))
+    kinds = {"asked": F.lit(True), "by_triplesets": F.col("a"), "by_texts": F.col("b"), "by_both": F.col("a") & F.col("b"), "by_neither": ~F.col("a") & ~F.col("b")}
+    sums = met.agg(*[F.count_if(when).alias(name) for name, when in kinds.items()])
+    covered = sums.select(F.lit("covered").alias("counter"), F.explode(F.create_map(*[x for name in kinds for x in (F.lit(name), F.col(name))])).alias("value", "n"))
+    return reduce(DataFrame.unionByName, [documents, written, *repeats, covered])
+
+
 def repeated_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
 

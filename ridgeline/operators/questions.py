@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.model_output import compact_feedback, missing_kinds, yesno_check
+from ridgeline.functions.model_output import compact_feedback, errors_of, missing_kinds, parse_json, wanted_questions, yesno_check
 from ridgeline.functions.questions import syntactic_distance
 from ridgeline.functions.stable import stable_order
 from ridgeline.functions.text import effective_answer, soft_match, text_or_empty
@@ -244,6 +244,24 @@ def question_rows(generated: DataFrame, meta: list[str], questions: str = "quest
     )
 
 
+def regenerate(tasks: DataFrame, known: DataFrame, ask: Callable[[DataFrame], DataFrame], keys: list[str] = LEX_KEY) -> DataFrame:
+    """Questions of the kinds that ``tasks`` miss, numbered on from those in ``known``.
+
+    ``ask`` adds ``output``, a model's answer to each task. Questions of other kinds, and yes/no questions with the other
+    answer, drop out; a task that is left with none gives one row without a number, with the reason.
+    """
+    asked = ask(tasks)
+    parsed = asked.withColumn("_p", parse_json(F.col("output"), "questions array<struct<type:string,question:string,answer:string>>"))
+    made = F.transform("_p.questions", lambda q: F.struct(q["type"].alias("question_type"), text_or_empty(q["question"]).alias("question"), F.trim(text_or_empty(q["answer"])).alias("answer")))
+    judged = parsed.withColumn("_q", wanted_questions(made, F.col("missing_types")))
+    none = F.concat(F.lit("no questions of the kinds wanted: "), F.array_join("missing_types", ", "))
+    errors = errors_of((F.col("_p").isNull(), "invalid JSON"), (F.col("_p").isNotNull() & F.col("_p.questions").isNull(), "missing questions"), (F.size("_q") == 0, none))
+    numbered = judged.withColumn("generation_errors", F.array_join(errors, "; ")).join(next_question_idx(known, keys), keys, "left")
+    rows = numbered.select(*tasks.columns, "generation_errors", "next_idx", F.posexplode_outer("_q").alias("_i", "_one"))
+    said = {c: text_or_empty(F.col(f"_one.{c}")).alias(c) for c in ("question_type", "question", "answer")}
+    return rows.select(*tasks.columns, (F.coalesce("next_idx", F.lit(0)) + F.col("_i")).alias("question_idx"), *said.values(), "generation_errors")
+
+
 def generate_with_retries(
     items: DataFrame, keys: list[str], attempt: Callable[[DataFrame, int], DataFrame], fallback: tuple[str, str], most: int = 4, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(),
     accept_fix_at_end: bool = True,

@@ -194,6 +194,18 @@ def translation_rules(spark, d):
     return q.select("qa_row_id", F.size(rules.translation_errors(english, F.col("answer"), spanish, F.col("answer"), lex)).alias("n_errors"))
 
 
+@query("SELECT qa_row_id, cast(CASE qa_row_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 4 END AS int) AS n_errors FROM qa", fixed=True)
+def translation_rules_catalan(spark, d):
+    """Sound; opened by an inverted mark; not grounded in the text; short, without a mark, asked for nobody, and not grounded."""
+    q = fixture.questions(spark, d)
+    k = F.col("qa_row_id") % 4
+    english = F.concat(F.lit("Where is the region "), F.col("answer"), F.lit("?"))
+    sound = F.concat(F.lit("On és la regió "), F.col("answer"), F.lit("?"))
+    catalan = F.when(k == 1, F.concat(F.lit("¿"), sound)).when(k == 3, "Regions velles").otherwise(sound)
+    lex = F.when(k >= 2, "res de res").otherwise(F.concat(F.lit("La regió és "), F.col("answer")))
+    return q.select("qa_row_id", F.size(rules.translation_errors(english, F.col("answer"), catalan, F.col("answer"), lex, rules.CATALAN)).alias("n_errors"))
+
+
 #: Sentences (%s: an order's number), proposals (offset, length, replacement, category), the text that must come out, and the edits made.
 EDIT_CASES = (
     ("Mr Robert Smith sent  order %s", ((15, 0, "x", "GRAMMAR"), (20, 2, " ", "WHITESPACE"), (3, 6, "Rupert", "GRAMMAR")), "Mr Robert Smith sent order %s", 1),
@@ -344,6 +356,23 @@ def duplicate_id_guard(spark, d):
     return collection.repeated_ids(ids.unionByName(docs.where("size = 3").select("doc_id")))
 
 
+_REPORT = """, q AS (SELECT DISTINCT mtriple AS t FROM qa UNION SELECT 'nobody | said | this'), held AS (SELECT DISTINCT unnest(mtriples) AS t FROM kept),
+counts AS (SELECT size, pattern, len(list_filter(pattern, lambda p: p = 'en')) AS a, len(list_filter(pattern, lambda p: p = 'es')) AS b FROM mixed)
+SELECT unnest(['tripleset_lang', 'text_lang']) AS counter, lang AS value, count(*) AS n FROM sides GROUP BY lang
+UNION ALL SELECT unnest(['tripleset_size', 'text_size']), concat(lang, ',', size), count(*) FROM sides GROUP BY lang, size
+UNION ALL SELECT 'text_source_lang', CASE lang WHEN 'es' THEN 'es' ELSE 'en' END, count(*) FROM sides GROUP BY 2
+UNION ALL SELECT 'mixed_pattern', array_to_string(pattern, ','), count(*) FROM counts GROUP BY 2
+UNION ALL SELECT 'mixed_counts', concat(size, ',', a, ',', b), count(*) FROM counts GROUP BY 2
+UNION ALL SELECT 'repeated_ids', unnest(['triplesets', 'texts']), 0
+UNION ALL SELECT 'covered', unnest(['asked', 'by_triplesets', 'by_texts', 'by_both', 'by_neither']), unnest([count(*), count(h.t), count(h.t), count(h.t), count(*) - count(h.t)]) FROM q LEFT JOIN held h USING (t)"""
+
+
+@query(_REPORT, fixed=True)
+def mapping_report(spark, d):
+    asked = fixture.questions(spark, d).select("mtriple").unionByName(spark.createDataFrame([("nobody | said  | this",)], "mtriple string"))
+    return collection.mapping_report(*_tripleset_docs(spark, d), asked)
+
+
 _BEST = "SELECT k, v AS lex_idx, s AS similarity FROM (SELECT l_orderkey AS k, l_linenumber AS v, round(l_discount, 6) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_discount, 6) DESC, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1"
 
 
@@ -880,6 +909,22 @@ def regen_tasks(spark, d):
     return tasks.select("category", "eid", "lex_id", F.array_join("missing_types", ",").alias("missing_types"), "split")
 
 
+@query(f"""{_LEX}, tk AS (
+  SELECT category, eid, lex_id, list_filter([CASE WHEN contains(missing, 'yes_question') THEN 'yes_q' END, CASE WHEN contains(missing, 'no_question') THEN 'no_q' END, CASE WHEN contains(missing, 'extractive') THEN 'extractive' END], lambda x: x IS NOT NULL) AS kinds FROM cr WHERE NOT is_complete
+), nx AS (SELECT category, eid, lex_id, max(question_idx) + 1 AS nxt FROM oq GROUP BY ALL),
+made AS (SELECT tk.*, nxt, list_filter([{{'kind': 'yes_q', 't': 'yes_no', 'a': 'Yes'}}, {{'kind': 'extractive', 't': 'extractive', 'a': eid}}, {{'kind': 'extractive', 't': 'extractive', 'a': 'b'}}], lambda x: list_contains(kinds, x.kind)) AS good FROM tk JOIN nx USING (category, eid, lex_id))
+SELECT category, eid, lex_id, nxt + i - 1 AS question_idx, good[i].t AS question_type, good[i].a AS answer, '' AS generation_errors FROM (SELECT *, unnest(range(1, len(good) + 1)) AS i FROM made WHERE lex_id <> '0')
+UNION ALL SELECT category, eid, lex_id, NULL, '', '', concat('no questions of the kinds wanted: ', array_to_string(kinds, ', ')) FROM made WHERE lex_id <> '0' AND len(good) = 0
+UNION ALL SELECT category, eid, lex_id, NULL, '', '', 'invalid JSON' FROM made WHERE lex_id = '0'""", fixed=True)
+def regenerated_questions(spark, d):
+    """A model that answers with a yes question and two extractive ones, or, for the first text, with no JSON."""
+    qa = fixture.order_questions(spark, d)
+    said = F.concat(F.lit('Here: {"questions": [{"type": "yes_no", "question": "Is it?", "answer": " Yes "}, {"type": "extractive", "question": "Who?", "answer": "'), F.col("eid"), F.lit('"}, {"type": "extractive", "question": "What?", "answer": "b"}]}'))
+    tasks = qa_ops.regeneration_tasks(qa_ops.lexicalisation_coverage(qa), qa)
+    made = qa_ops.regenerate(tasks, qa, lambda df: df.withColumn("output", F.when(F.col("lex_id") == "0", "sorry").otherwise(said)))
+    return made.select("category", "eid", "lex_id", "question_idx", "question_type", "answer", "generation_errors")
+
+
 @query("""WITH vt AS (SELECT o_orderkey AS k, j, CASE WHEN (o_orderkey + j) % 7 = 0 THEN NULL ELSE (o_orderkey * (j + 1)) % 3 <> 0 END AS a, CASE WHEN (o_orderkey + j) % 7 = 0 THEN NULL ELSE (o_orderkey + j) % 2 = 0 END AS c, CASE WHEN (o_orderkey + j) % 5 = 0 THEN concat('fix', j) END AS f FROM orders, (SELECT unnest(range(3)) AS j))
 SELECT k, cast(count(a) AS bigint) AS judges_used, cast(count(*) FILTER (a) AS bigint) AS answerable_votes, cast(count(*) FILTER (c) AS bigint) AS correct_votes, count(*) FILTER (a) > count(a) / 2 AS answerable, count(*) FILTER (c) > count(a) / 2 AS correct, min(f) FILTER (a IS NOT NULL) AS judge_corrected_answer FROM vt GROUP BY k""")
 def majority_vote(spark, d):
