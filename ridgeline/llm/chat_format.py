@@ -7,10 +7,11 @@ a turn's text lies in its span is found by rendering the turn with two other tex
 and at the back is the template's own. Control strings in texts are escaped before rendering, reversibly, so no text can
 open or close a turn.
 
-Turns are sorted and streamed, and come out as rows. A template may state how many turns it looks back, as an attribute
+Turns are sorted and streamed, and come out as rows. Every prefix is rendered whole, however long, so a conversation takes
+memory by its length and time by the square of its turns. A template may state how many turns it looks back, as an attribute
 ``looks_back``: what a turn adds then depends on no earlier ones, whose number included, and nothing before them is
-rewritten. Only those turns are held and rendered, so a conversation of any length takes bounded memory and linear time;
-``chatml`` looks back on none. Of a template that states nothing every prefix is rendered whole, however long.
+rewritten. Only those turns are then held and rendered, in bounded memory and linear time, but the statement is believed:
+rewriting is not looked for before them. ``chatml`` states nothing, so its prefixes are compared.
 
 A span lies where the output stood when its turn was added. Where a later turn rewrites from before a span's end, that span
 no longer holds; ``final_spans`` says which do.
@@ -56,10 +57,6 @@ def chatml(messages: list[tuple[str, str]]) -> str:
     return "".join([f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in messages])
 
 
-#: Each turn is rendered by itself.
-chatml.looks_back = 0
-
-
 def escape_role(role: str) -> str:
     return escape(role).replace("\n", "\\\n")
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy, and their defined results."""
 
+import functools
 import hashlib
 import random
 import struct
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm import bfd_packing, byte_cnn, chat_format, decontaminate, line_templates, mpeg_audio, nnls_packing, secret_scan, simhash_dedup, token_attribution
+from ridgeline.llm import queries as llm_queries
 from ridgeline.llm.common import encode, ranks_path, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -850,6 +852,20 @@ def test_a_stated_look_back_gives_the_same():
     assert [full.add(*m) for m in said][1:] == [short.add(*m) for m in said][1:] and not short.rewrites
 
 
+def test_the_query_renders_whole_prefixes(spark, tmp_path, monkeypatch):
+    def late(messages):
+        """chatml, but from the 81st turn on the first turn's text is turned round."""
+        return chat_format.chatml([(r, t[::-1] if not k and len(messages) > 80 else t) for k, (r, t) in enumerate(messages)])
+
+    late.__dict__.update(vars(chat_format.chatml))  # it states what the query's own template states
+    said = {c: [("user" if k % 2 else "assistant", f"turn {k}") for k in range(n)] for c, n in ((1, 80), (2, 81), (3, 90))}
+    spark.createDataFrame([(c, k, r, t) for c in said for k, (r, t) in enumerate(said[c])], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(chat_format, "format_turns", functools.partial(chat_format.format_turns, template=late))
+    got = {r.conv_id: r for r in llm_queries.op9_chat_formatting(spark, str(tmp_path)).collect()}
+    assert {c: r.rewrites for c, r in got.items()} == {-1: False, 1: False, 2: True, 3: True}
+    assert [got[c].formatted_chars for c in said] == [len(late(said[c])) for c in said]
+
+
 def test_digest_refuses_dealt_turns(spark):
     df = spark.createDataFrame([(c, k, "user", "t") for c in range(3) for k in range(5)], "conv_id long, turn long, role string, text string")
     with pytest.raises(Exception, match="out of order"):
