@@ -92,10 +92,14 @@ def concat_field(triples: Column, text: Column) -> Column:
     return normalize_ws(F.concat(F.lit("[TRIPLES]\n"), text_or_empty(triples), F.lit("\n[TEXT]\n"), text_or_empty(text)))
 
 
+def spaced_words(c: Column) -> Column:
+    """Lower-case words with one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(text_or_empty(c), "_", " ")), r"[^\p{L}\p{N}]+", " "))
+
+
 def tokenize(c: Column) -> Column:
     """Lower-case words."""
-    words = F.split(F.regexp_replace(F.lower(F.translate(text_or_empty(c), "_", " ")), r"[^\p{L}\p{N}]+", " "), " ")
-    return F.filter(words, lambda w: w != "")
+    return F.array_remove(F.split(spaced_words(c), " "), "")
 
 
 def qtype3(role: Column, question_type: Column) -> Column:

@@ -22,7 +22,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def sparse(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Learned-sparse retrieval with term frequencies for weights."""
-    return retrieval.sparse(retrieval.tf_weights(docs, "docno", "text"), retrieval.tf_weights(queries, "qid", "query"), k)
+    return retrieval.tf_sparse(docs, queries, k)
 
 
 def dense(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

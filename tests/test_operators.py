@@ -241,6 +241,34 @@ def test_bm25_and_sparse_without_broadcast(spark):
     assert {(r.term, r.docno, r.tf, r.dl) for r in retrieval.postings(docs).where("docno < 4").collect()} == {("a", 0, 2, 4), ("b", 0, 1, 4), ("c", 0, 1, 4), ("b", 3, 2, 2)}
 
 
+def test_best_of_pairs_without_a_shuffle_of_pairs(spark, monkeypatch):
+    import math
+    import random
+
+    from ridgeline.operators.topk import top_k
+
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("abcdefghij") for _ in range(n))
+    docs = spark.createDataFrame([(f"d{k}", say(rng.randrange(6))) for k in range(50)] + [("x", None)], "docno string, text string").repartition(3)
+    asked = spark.createDataFrame([(k, say(rng.randrange(5))) for k in range(9)] + [(3, "b b"), (77, "zz"), (78, None)], "qid long, query string")
+    d, q = retrieval.tf_weights(docs, "docno", "text"), retrieval.tf_weights(asked, "qid", "query")
+    signed = q.withColumn("weight", F.when(F.col("dim") < "d", -F.col("weight")).when(F.col("dim") < "f", 0.0).otherwise(F.col("weight")))
+    key = lambda df: sorted(map(tuple, df.select("qid", "docno", "score", "rank").collect()))
+    right = [key(top_k(df, 4)) for df in (retrieval.bm25_scores(docs, asked), retrieval.sparse_scores(d, q), retrieval.sparse_scores(d, signed))]
+    for limits in ({}, {"MOST_TERMS": 7, "QUERY_BLOCK": 2, "MOST_WEIGHTS": 5, "DOCUMENT_CELLS": 30}):
+        for name, value in limits.items():
+            monkeypatch.setattr(retrieval, name, value)
+        found = [retrieval.bm25(docs, asked, 4), retrieval.sparse(d, q, 4), retrieval.sparse(d, signed, 4)]
+        assert [key(df) for df in found] == right
+        assert key(retrieval.tf_sparse(docs, asked, 4)) == right[1]
+        for df in found:  # only the tasks' best rows are left to be ranked
+            assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert retrieval.bm25(docs, asked.where("false"), 4).count() == 0
+    # Rows of one id are one document; lengths are of rows
+    twice = retrieval.bm25(spark.createDataFrame([("a", "x y"), ("a", "x y"), ("b", "y")], "docno string, text string"), spark.createDataFrame([(1, "x")], "qid long, query string")).collect()
+    assert [(r.docno, r.score) for r in twice] == [("a", round(math.log(1 + 2.5 / 1.5) * 2 * 1.9 / (2 + 0.9 * (0.6 + 0.4 * 2 / (5 / 3))), 6))]
+
+
 def test_every_run_of_the_matrix(spark):
     from ridgeline.plans import experiment
 
