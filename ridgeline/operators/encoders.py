@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 
+#: Words whose hashes an encoder remembers.
+MOST_WORDS = 50_000
+
+
 class Encoder(Protocol):
     """Made once in each worker, then called on batches."""
 
@@ -23,13 +28,18 @@ class HashingEncoder:
 
     def __init__(self, size: int = 64):
         self.size = size
+        self.slot = lru_cache(MOST_WORDS)(self.slot)
+
+    def slot(self, word: str) -> tuple[int, int]:
+        digest = int.from_bytes(hashlib.md5(word.encode()).digest()[:8])
+        return digest % self.size, 1 if digest >> 63 else -1
 
     def encode(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.size), dtype=np.float64)
         for row, text in zip(out, texts, strict=True):
             for word in text.lower().split():
-                digest = int.from_bytes(hashlib.md5(word.encode()).digest()[:8])
-                row[digest % self.size] += 1 if digest >> 63 else -1
+                place, sign = self.slot(word)
+                row[place] += sign
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms > 0, norms, 1)).astype(np.float32).tolist()
 
@@ -39,6 +49,7 @@ class HashingWords:
 
     def __init__(self, size: int = 16):
         self.size = size
+        self.vector = lru_cache(MOST_WORDS)(self.vector)
 
     def encode(self, texts: list[str]) -> list[list[list[float]]]:
         return [[self.vector(word) for word in text.lower().split()] for text in texts]

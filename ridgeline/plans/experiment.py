@@ -90,13 +90,10 @@ def execute(
 def evaluate(results: dict[str, DataFrame], queries: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """Metrics of each query in each run, with the labels that summaries go by.
 
-    All runs are evaluated in one plan: a query's id is made to carry its run.
+    All runs are evaluated in one plan, in which judgements come once.
     """
-    mark = lambda name: F.concat(F.lit(f"{name}\t"), F.col("qid"))
-    runs = reduce(DataFrame.unionByName, [df.select(mark(n).alias("qid"), "docno", "score", "rank") for n, df in results.items()])
-    names = queries.sparkSession.createDataFrame([(n,) for n in results], "run string")
-    judged = metrics.judged(qrels).join(F.broadcast(names), how="cross").select(F.concat_ws("\t", "run", "qid").alias("qid"), "docno", F.lit(1).alias("relevance"))  # a row per run
-    scored = metrics.per_query(runs, judged, ks).withColumns({"run": F.split("qid", "\t")[0], "qid": F.split("qid", "\t")[1]})
+    runs = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("run"), "qid", "docno", "score", "rank") for n, df in results.items()])
+    scored = metrics.per_query(runs, qrels, ks, by=("run",))
     part = lambda pattern: F.regexp_extract("run", pattern, 1)
     labelled = scored.withColumns({"method": part("^(.*?)__"), "representation": part("^.*?__(.*)__q"), "query_lang": part("__q([a-z]+)_d"), "doc_lang": part("_d([a-z]+)$")})
     labelled = labelled.withColumn("scenario", F.concat_ws("_to_", "query_lang", "doc_lang"))
