@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from ridgeline.functions.stable import mixed_pattern, stable_index
 from ridgeline.functions.text import TRIPLE_SEP, concat_field, entry_id, normalize_ws, split_triples, text_field, text_id, triples_field, tripleset_id
 from ridgeline.operators.topk import first_per_key
+from ridgeline.sources.checkpoint import keep
 
 KEY = ["split", "category", "eid", "size"]
 LANGS = ("en", "es", "mix")
 
 
 def join_unique(value: Column, order: Column) -> Column:
-    """An aggregate: the distinct texts that aren't blank, in order, one per line."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), normalize_ws(value).alias("v")))), lambda x: x["v"])
+    """An aggregate: the distinct texts that aren't blank, in order, one per line. Null ones aren't gathered."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), normalize_ws(value).alias("v"))))), lambda x: x["v"])
     return F.array_join(F.array_distinct(F.filter(ordered, lambda v: v != "")), "\n")
 
 
@@ -115,7 +116,7 @@ def wide_docs(triples: DataFrame, texts: DataFrame, langs: tuple[str, ...] = LAN
         *[x for lang in langs for x in (join_unique(F.when(F.col("lang") == lang, F.col("triples")), F.col("doc_id")).alias(f"triples_{lang}_raw"), join_unique(F.when(F.col("lang") == lang, F.col("supporting_mtriples")), F.col("doc_id")).alias(f"supporting_mtriples_{lang}"))],
     )
     x = texts.groupBy("base_id").agg(
-        *[y for lang in langs for y in (join_unique(F.when(F.col("lang") == lang, F.col("text")), F.struct("lex_idx", "doc_id")).alias(f"text_{lang}_raw"), F.countDistinct(F.when(F.col("lang") == lang, F.col("lex_idx"))).alias(f"n_lex_{lang}"))],
+        *[y for lang in langs for y in (join_unique(F.when(F.col("lang") == lang, F.col("text")), F.struct("lex_idx", "doc_id")).alias(f"text_{lang}_raw"), F.size(F.collect_set(F.when(F.col("lang") == lang, F.col("lex_idx")))).cast("long").alias(f"n_lex_{lang}"))],  # distinct counts would repeat every row
     )
     met = t.join(x, "base_id", "left").fillna("", [f"text_{lang}_raw" for lang in langs])
     if parallel:
@@ -128,7 +129,11 @@ def wide_docs(triples: DataFrame, texts: DataFrame, langs: tuple[str, ...] = LAN
 
 
 def inventory_faults(triples: DataFrame, texts: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
-    """``(fault, n)`` of what should be empty: ids of one side only by language, sizes, and mixed texts that aren't the English ones."""
+    """``(fault, n)`` of what should be empty: ids of one side only by language, sizes, and mixed texts that aren't the English ones.
+
+    What is compared of each side is kept, so a side is made once.
+    """
+    triples, texts = keep(triples.select("base_id", "lang", "size")), keep(texts.select("base_id", "lang", "size", "text"))
     ids = lambda df: df.select("base_id", "lang").distinct()
     one_side = ids(triples).withColumn("side", F.lit("tripleset_only")).join(ids(texts), ["base_id", "lang"], "left_anti")
     other = ids(texts).withColumn("side", F.lit("text_only")).join(ids(triples), ["base_id", "lang"], "left_anti")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.text import normalise_triple, normalize_ws, qtype3, query_id_base, split_triples, text_or_empty
+from ridgeline.sources.checkpoint import keep
+
+#: Questions' triples that may be sent to every task; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def filter_questions(qa: DataFrame, statuses: list[str] | None = None, splits: list[str] | None = None) -> DataFrame:
@@ -25,12 +29,20 @@ def triple_docs(docs: DataFrame, supporting: str = "supporting_mtriples_en", raw
 
 
 def relevant_docs(qa: DataFrame, facts: DataFrame, min_triples: int = 1) -> DataFrame:
-    """``(qa_row_id, docno)`` for questions with some relevant document of ``min_triples`` or more triples."""
-    met = qa.select("qa_row_id", normalize_ws(F.col("mtriple")).alias("triple")).join(facts, "triple").groupBy("qa_row_id", "docno").agg(F.max("n_triples").alias("n_triples"))
-    if min_triples <= 1:
-        return met.select("qa_row_id", "docno")
-    fits = met.groupBy("qa_row_id").agg(F.max("n_triples").alias("most")).where(F.col("most") >= min_triples).select("qa_row_id")
-    return met.join(fits, "qa_row_id", "left_semi").select("qa_row_id", "docno")
+    """``(qa_row_id, docno)`` for questions with some relevant document of ``min_triples`` or more triples.
+
+    The facts that some question asks for are kept; the questions' triples are sent to the tasks after their number was
+    checked, so that a triple of many documents doesn't come to one task.
+    """
+    asked = qa.select("qa_row_id", normalize_ws(F.col("mtriple")).alias("triple"))
+    sent = F.broadcast if asked.count() <= MOST_BROADCAST else (lambda df: df)
+    if min_triples > 1:
+        facts = keep(facts.select("triple", "docno", "n_triples").join(sent(asked.select("triple").distinct()), "triple", "left_semi"))
+        most = facts.groupBy("triple").agg(F.max("n_triples").alias("most"))
+        # A question that comes with several triples fits by any of them
+        fits = asked.join(most, "triple").where(F.col("most") >= min_triples).select("qa_row_id").distinct()
+        asked = asked.join(fits, "qa_row_id", "left_semi")
+    return facts.select("triple", "docno").join(sent(asked), "triple").select("qa_row_id", "docno").distinct()
 
 
 def queries_long(qa: DataFrame, columns: dict[str, str]) -> DataFrame:

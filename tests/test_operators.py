@@ -472,3 +472,45 @@ def test_judgements_by_fact(spark):
     assert sorted(map(tuple, qrels.relevant_docs(asked, facts).collect())) == [(1, "d1"), (1, "d2")]
     assert qrels.relevant_docs(asked, facts, 3).count() == 0
     assert {tuple(r) for r in qrels.covered_triples(facts, asked).collect()} == {("a | b | c", True), ("x | y | Z", False)}
+
+
+def counted(spark, df):
+    """The frame, and a counter of the rows that are made of it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_sides_and_facts_are_made_once(spark):
+    facts, seen = counted(spark, spark.createDataFrame([("a | b | c", "d1", 2), ("a | b | c", "d2", 3), ("x | y | z", "d1", 2)], "triple string, docno string, n_triples int"))
+    asked = spark.createDataFrame([(1, "a |  b | c"), (2, "x | y | z"), (2, "a | b | c"), (3, "x | y | z")], "qa_row_id long, mtriple string")
+    assert sorted(map(tuple, qrels.relevant_docs(asked, facts, 3).collect())) == [(1, "d1"), (1, "d2"), (2, "d1"), (2, "d2")]
+    assert seen.value == 3
+    docs, seen = counted(spark, spark.createDataFrame([("b1", lang, 2, "t") for lang in ("en", "es", "mix")], "base_id string, lang string, size int, text string"))
+    assert {r.n for r in collection.inventory_faults(docs, docs).collect()} == {0} and seen.value == 6
+    texts = docs.selectExpr("base_id", "lang", "0 as lex_idx", "base_id as doc_id", "text")
+    triples = docs.selectExpr("base_id", "lang", "'s' as split", "'c' as category", "'e' as eid", "size", "2 as n_triples", "text as triples", "text as supporting_mtriples", "base_id as doc_id")
+    wide = collection.wide_docs(triples, texts)
+    assert wide.select("docno", "text_es", "n_lex_mix", "triples_mix_raw").first() == ("b1", "t", 1, "t") and dict(wide.dtypes)["n_lex_en"] == "bigint"
+    assert "Expand" not in wide._jdf.queryExecution().optimizedPlan().toString()  # distinct counts would repeat every row
+
+
+def test_judgements_come_once_for_all_runs(spark):
+    from ridgeline.plans import experiment
+
+    queries = spark.createDataFrame([("q1", "dev", "yes"), ("q2", "dev", "no")], "qid string, split string, question_type3 string")
+    judged, seen = counted(spark, spark.createDataFrame([(q, f"d{k}", 1) for q in ("q1", "q2", "q3") for k in range(5)], "qid string, docno string, relevance int"))
+    run = lambda *rows: spark.createDataFrame(rows, "qid string, docno string, score double, rank int")
+    runs = {"m__text__qen_den": run(("q1", "d0", 2.0, 1), ("q1", "x", 1.0, 2)), "m__concat__qen_den": run(("q1", "x", 2.0, 1), ("q1", "d1", 1.0, 2), ("q2", "x", 1.0, 1))}
+    rows = {(r.run, r.qid): (r.n_relevant, r.AP, r["MRR@5"]) for r in experiment.evaluate(runs, queries, judged).collect()}
+    assert rows == {("m__text__qen_den", "q1"): (5, 0.2, 1.0), ("m__concat__qen_den", "q1"): (5, 0.1, 0.5), ("m__concat__qen_den", "q2"): (5, 0.0, 0.0)}
+    plan = experiment.evaluate(runs, queries, judged)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan
+    one = metrics.per_query(runs["m__text__qen_den"], judged).first()
+    assert (one.qid, one.n_relevant, one.AP) == ("q1", 5, 0.2)
+    assert {r.qid for r in metrics.per_query(runs["m__text__qen_den"], judged, include_unretrieved=True).collect()} == {"q1", "q2", "q3"}
